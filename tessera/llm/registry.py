@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing
+from tessera.llm import mixing, neardup, packing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op5_pack_sequences, mixing.op7_mix_sources)}
+    return {f.__name__: f for f in (neardup.op1_near_duplicates, packing.op5_pack_sequences, mixing.op7_mix_sources)}
 
 
 def oracle_sql() -> dict:
