@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm import mixing, neardup, packing, private, quality
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (neardup.op1_near_duplicates, private.op2_private_data, packing.op5_pack_sequences, mixing.op7_mix_sources, quality.op9_quality)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (neardup.op1_near_duplicates, private.op2_private_data, packing.op5_pack_sequences, mixing.op7_mix_sources, quality.op9_quality)}
 
 
 def oracle_sql() -> dict:
