@@ -33,29 +33,55 @@ def _left(text: Column, dropped: str) -> Column:
     return F.length(F.regexp_replace(text, dropped, "")).cast("double")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, by name."""
-    size = F.length(text).cast("double")
-    at_least_one = lambda c: F.greatest(c, F.lit(1.0))
+def counts(text: Column) -> dict[str, Column]:
+    """Counts over a whole text, by name; each reads the text."""
     words, lines = F.split(text, r"[\x20\x09-\x0D]+"), F.split(text, "\n")
-    n_words = F.when(text == "", F.lit(0.0)).otherwise(F.size(words).cast("double"))
-    solid, letters = _left(text, r"[\x20\x09-\x0D]+"), _left(text, r"[^\p{L}]+")
     return {
-        "log_words": F.log1p(n_words),
-        "word_length": solid / at_least_one(n_words),
-        "distinct_words": F.when(text == "", F.lit(0.0)).otherwise(F.size(F.array_distinct(words)) / at_least_one(n_words)),
-        "repeated": (size - _left(text, r"(?<![^ \n])([^ \n]++)(?: \1(?![^ \n]))++")) / at_least_one(size),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
-        "line_length": size / F.size(lines),
-        "letters": letters / at_least_one(solid),
-        "upper": _left(text, r"[^\p{Lu}]+") / at_least_one(letters),
-        "digits": _left(text, r"[^0-9]+") / at_least_one(solid),
-        "marks": _left(text, r"[^.,;:!?]+") / at_least_one(n_words),
-        "symbols": _left(text, r"[^#$%&*|<>{}=+~^@_\\\[\]]+") / at_least_one(n_words),
-        "exclaimed": _left(text, r"[^!?]+") / at_least_one(n_words),
+        "size": F.length(text).cast("double"),
+        "words": F.when(text == "", F.lit(0.0)).otherwise(F.size(words).cast("double")),
+        "different_words": F.when(text == "", F.lit(0.0)).otherwise(F.size(F.array_distinct(words)).cast("double")),
+        "lines": F.size(lines).cast("double"),
+        "different_lines": F.size(F.array_distinct(lines)).cast("double"),
+        "solid": _left(text, r"[\x20\x09-\x0D]+"),
+        "letters": _left(text, r"[^\p{L}]+"),
+        "upper": _left(text, r"[^\p{Lu}]+"),
+        "digits": _left(text, r"[^0-9]+"),
+        "marks": _left(text, r"[^.,;:!?]+"),
+        "symbols": _left(text, r"[^#$%&*|<>{}=+~^@_\\\[\]]+"),
+        "exclaimed": _left(text, r"[^!?]+"),
+        "unrepeated": _left(text, r"(?<![^ \n])([^ \n]++)(?: \1(?![^ \n]))++"),
     }
 
 
+def statistics(n: dict[str, Column]) -> dict[str, Column]:
+    """Statistics from counts, by name."""
+    at_least_one = lambda c: F.greatest(c, F.lit(1.0))
+    return {
+        "log_words": F.log1p(n["words"]),
+        "word_length": n["solid"] / at_least_one(n["words"]),
+        "distinct_words": n["different_words"] / at_least_one(n["words"]),
+        "repeated": (n["size"] - n["unrepeated"]) / at_least_one(n["size"]),
+        "distinct_lines": n["different_lines"] / n["lines"],
+        "line_length": n["size"] / n["lines"],
+        "letters": n["letters"] / at_least_one(n["solid"]),
+        "upper": n["upper"] / at_least_one(n["letters"]),
+        "digits": n["digits"] / at_least_one(n["solid"]),
+        "marks": n["marks"] / at_least_one(n["words"]),
+        "symbols": n["symbols"] / at_least_one(n["words"]),
+        "exclaimed": n["exclaimed"] / at_least_one(n["words"]),
+    }
+
+
+def with_statistics(docs: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with the counts of ``text`` as ``_n_`` columns, and the statistics over them.
+
+    The counts come out of a generator, through which the optimizer pushes no filter; else a filter on the
+    score would read the text once for every threshold of every rule.
+    """
+    counted = docs.select("*", F.inline(F.array(F.struct(*[c.alias(f"_n_{k}") for k, c in counts(text).items()]))))
+    return counted, statistics({k: F.col(f"_n_{k}") for k in counts(text)})
+
+
 @dataclass
 class RuleModel:
     """score = sigmoid(intercept + sum of the weights of the rules that hold); a rule is a tuple of (name, is_above, threshold)."""
@@ -63,13 +89,12 @@ class RuleModel:
     intercept: float = 0.0
     rules: list[tuple[tuple[tuple[str, bool, float], ...], float]] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score over columns named as the statistics."""
+    def column(self, stats: dict[str, Column]) -> Column:
         total = F.lit(self.intercept)
         for conditions, weight in self.rules:
             holds = F.lit(True)
             for name, above, at in conditions:
-                holds = holds & ((F.col(name) > at) if above else (F.col(name) <= at))
+                holds = holds & ((stats[name] > at) if above else (stats[name] <= at))
             total = total + holds.cast("double") * F.lit(weight)
         return 1.0 / (1.0 + F.exp(-total))
 
@@ -166,17 +191,16 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows, so it may be broadcast
-    stats = statistics(F.col("_text"))
-    rows = docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(chosen), "doc_id")
+    known_docs = docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(chosen), "doc_id")
+    rows, stats = with_statistics(known_docs, F.col("_text"))
     frame = rows.select("doc_id", "_label", *[c.alias(k) for k, c in stats.items()]).orderBy("doc_id").toPandas()
     return fit_rules({k: frame[k].to_numpy(float) for k in stats}, frame["_label"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
     """All columns of ``docs`` with ``_score``."""
-    stats = {f"_s_{k}": c for k, c in statistics(whole_text()).items()}
-    named = RuleModel(model.intercept, [(tuple((f"_s_{n}", up, at) for n, up, at in r), w) for r, w in model.rules])
-    return docs.withColumns(stats).withColumn("_score", named.column()).drop(*stats)
+    counted, stats = with_statistics(docs, whole_text())
+    return counted.select(*docs.columns, model.column(stats).alias("_score"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
