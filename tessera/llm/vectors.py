@@ -38,26 +38,29 @@ def clean_vectors(vectors: DataFrame, scaled: bool = False, drop_zero: bool = Fa
     if scaled:
         # floor() gives a long; as doubles the values stay exact.
         rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
-    return rows
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))  # a repeated vec_id counts once
 
 
 def matrix(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in column], dtype=np.float64).reshape(len(column), -1)
 
 
-def pivots_of(vectors: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
-    """Pivots chosen greedily, each farthest from those before, among a bounded sample: the vectors whose hashed id is smallest."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+def bounded_sample(vectors: DataFrame, sample: int = PIVOT_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows whose hashed vec_id is smallest, of the width that most of them have."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas().sort_values("vec_id")
     if rows.empty:
-        return np.zeros((0, 0))
-    rows = rows.sort_values("vec_id")
-    width = rows["v"].map(len).mode().iloc[0]
-    x = matrix(rows.loc[rows["v"].map(len) == width, "v"])
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    rows = rows[rows["v"].map(len) == rows["v"].map(len).mode().iloc[0]]
+    return rows["vec_id"].to_numpy(np.int64), matrix(rows["v"])
+
+
+def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """Positions of up to ``n`` rows, each farthest from those chosen before."""
     chosen, near = [0], ((x - x[0]) ** 2).sum(axis=1)
     while len(chosen) < min(n, len(x)) and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return x[chosen]
+    return np.array(chosen)
 
 
 def dealt(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -78,26 +81,29 @@ def dealt(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(near, _DEALT)
 
 
-def search(cells: DataFrame, every: int, k: int, scratch: Scratch, within: Callable, score_type: str, ascending: bool, worthwhile: Callable | None = None) -> DataFrame:
+def search(clean: DataFrame, pivots: np.ndarray, every: int, k: int, scratch: Scratch, within: Callable, score_type: str, ascending: bool, worthwhile: Callable | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the best ``k`` of every query, ties to the smaller vec_id.
 
-    ``cells``: a dealt() table. Queries are the rows whose vec_id is divisible by ``every``. ``within`` takes the
-    candidates and the queries of one task as pandas frames and returns query_id, vec_id and score;
-    ``worthwhile`` turns (cell table, query-group table) into the pairs of a cell and a query group that may matter.
+    Queries are the rows of ``clean`` whose vec_id is divisible by ``every``. They are dealt to as many of the
+    first pivots as give groups of about QUERY_GROUP, so that candidates are sent no oftener than needed.
+    ``within`` takes the candidates and the queries of one task as pandas frames and returns query_id, vec_id
+    and score. ``worthwhile`` turns (cells, query groups) into the pairs of both that may matter.
     """
+    spark = clean.sparkSession
+    cells = scratch.keep(dealt(clean, pivots), "cells")
     n = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # one row a pivot
-    queries = cells.where(F.col("vec_id") % every == 0)
-    n_queries = queries.groupBy("cell").count()
-    spark = cells.sparkSession
-    blocks = spark.createDataFrame([(c, -(-m // BLOCK)) for c, m in n.items()] or [(-1, 1)], "cell int, n_blocks long")
-    q_blocks = n_queries.select("cell", F.ceil(F.col("count") / QUERY_GROUP).alias("n_groups"))
+    blocks = spark.createDataFrame([(c, -(-m // BLOCK)) for c, m in n.items()] or [(0, 1)], "cell int, n_blocks long")
+    queries = clean.where(F.col("vec_id") % every == 0)
+    q_pivots = pivots[: max(1, -(-queries.count() // QUERY_GROUP))]
+    asked = dealt(queries, q_pivots).withColumnRenamed("cell", "q_cell")
+    q_blocks = asked.groupBy("q_cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("n_groups"))
     deal = lambda width: F.pmod(F.xxhash64("vec_id"), F.col(width)).cast("int")
-    asked = queries.join(F.broadcast(q_blocks), "cell").withColumn("q_cell", F.col("cell")).withColumn("q_group", deal("n_groups")).drop("cell", "n_groups")
+    asked = asked.join(F.broadcast(q_blocks), "q_cell").withColumn("q_group", deal("n_groups"))
     asked = scratch.keep(asked.select("q_cell", "q_group", F.col("vec_id").alias("query_id"), "v", "far"), "asked")
     placed = cells.join(F.broadcast(blocks), "cell").withColumn("block", deal("n_blocks")).drop("n_blocks")
 
-    groups = asked.select("q_cell", "q_group").distinct()
-    pairs = worthwhile(cells, asked) if worthwhile else groups.join(F.broadcast(blocks.select("cell")))
+    every_cell = F.explode(F.array(*[F.lit(c) for c in sorted(n)] or [F.lit(0)]))
+    pairs = worthwhile(cells, asked) if worthwhile else asked.select("q_cell", "q_group").distinct().withColumn("cell", every_cell)
     pairs = scratch.keep(pairs.select("cell", "q_cell", "q_group"), "pairs")
     left = placed.join(pairs, "cell").select("cell", "block", "q_cell", "q_group", "vec_id", "v")
     spread = pairs.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int")))).drop("n_blocks")
