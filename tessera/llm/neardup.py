@@ -3,8 +3,9 @@
 Every distinct document (by its word sequence) gets the minima of many universal hash functions over its
 set of word shingles. Minima are grouped in bands; documents that share a band are candidates. In each
 bucket the members are first compared with the bucket's smallest id, and the links found are closed to
-components. Then all pairs of a bucket that are still in different components are compared, so that no
-link between two components is lost and no pairs are formed inside one. A comparison first estimates the
+components. Then all pairs of a bucket that are still in different components are compared - but for
+documents that are shown to have no link, see able_to_link() - so that no link between two components is
+lost and no pairs are formed inside one. A comparison first estimates the
 similarity from the signature (one byte of each minimum) and then counts on the full sets, so only links
 that hold exactly are used.
 
@@ -188,6 +189,23 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(old)
 
 
+def able_to_link(members: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """doc_id of the members that can have a link to another member at all.
+
+    A link needs ``percent`` of a document's shingles in the other document, so a document too many of whose
+    shingles occur in no other member has none. In a large group of distant copies this settles most.
+    """
+    ids = scratch.keep(members.select("doc_id").distinct(), "open_ids")
+    sets = scratch.keep(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle), "open_sets")
+    holders = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    own = holders.where("doc_id = last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    sized = sets.groupBy("doc_id").agg(F.max(F.size("shingles")).alias("n"))
+    able = sized.join(own, "doc_id", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
+    able = scratch.keep(able.select("doc_id"), "able_ids")
+    scratch.drop("open_sets")
+    return able
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -210,6 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     mixed = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band")
     mixed = scratch.keep(mixed, "mixed")
     open_members = scratch.keep(placed.join(mixed, "band"), "open")
+    open_members = scratch.keep(open_members.join(able_to_link(open_members, docs, scratch, shingle, percent), "doc_id"), "able")
     groups = open_members.select("band", "component").distinct()
     facing = groups.withColumnRenamed("component", "ca").join(groups.withColumnRenamed("component", "cb"), "band").where("ca < cb")
     x = open_members.select("band", F.col("doc_id").alias("x"), F.col("component").alias("ca"), F.col("a").alias("head"))
