@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import exact_search, mixing, near_search, neardup, packing, private, quality
+from tessera.llm import exact_search, mixing, near_search, neardup, packing, private, quality, substrings
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (neardup.op1_near_duplicates, private.op2_private_data, exact_search.op3_exact_search, packing.op5_pack_sequences, mixing.op7_mix_sources, quality.op9_quality, near_search.op10_near_search)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (neardup.op1_near_duplicates, private.op2_private_data, exact_search.op3_exact_search, packing.op5_pack_sequences, mixing.op7_mix_sources, substrings.op8_duplicate_substrings, quality.op9_quality, near_search.op10_near_search)}
 
 
 def oracle_sql() -> dict:
