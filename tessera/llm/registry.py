@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import exact_search, likelihood, mixing, near_search, neardup, packing, private, quality, substrings
+from tessera.llm import exact_search, likelihood, mixing, near_search, neardup, packing, private, quality, substrings, warc
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (neardup.op1_near_duplicates, private.op2_private_data, exact_search.op3_exact_search, packing.op5_pack_sequences, likelihood.op6_pseudo_likelihood, mixing.op7_mix_sources, substrings.op8_duplicate_substrings, quality.op9_quality, near_search.op10_near_search)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (neardup.op1_near_duplicates, private.op2_private_data, exact_search.op3_exact_search, warc.op4_revisits, packing.op5_pack_sequences, likelihood.op6_pseudo_likelihood, mixing.op7_mix_sources, substrings.op8_duplicate_substrings, quality.op9_quality, near_search.op10_near_search)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_revisits": warc.OP4_SQL}
