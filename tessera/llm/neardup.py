@@ -3,9 +3,9 @@
 Every distinct document (by its word sequence) gets the minima of many universal hash functions over its
 set of word shingles. Minima are grouped in bands; documents that share a band are candidates. In each
 bucket the members are first compared with the bucket's smallest id, and the links found are closed to
-components. Then all pairs of a bucket that are still in different components are compared - but for
-documents that are shown to have no link, see able_to_link() - so that no link between two components is
-lost and no pairs are formed inside one. A comparison first estimates the
+components. Then components that still meet in a bucket are compared, document by document - but for those
+shown to have no link, see able_to_link() - so that no link between two components is lost and no pairs are
+formed inside one. The first comparison estimates the
 similarity from the signature (one byte of each minimum) and then counts on the full sets, so only links
 that hold exactly are used.
 
@@ -21,6 +21,7 @@ a null doc_id take no part in links and keep a null component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ BANDS, ROWS = 40, 6
 SIGNED = 128
 #: Signature estimates under the threshold by so many standard deviations are not counted on the sets.
 SLACK = 5.0
+#: Shingles in a chunk of a component that is compared with another.
+CHUNK = 500_000
 _SEED = 977
 
 _U64 = np.uint64
@@ -189,21 +192,76 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(old)
 
 
-def able_to_link(members: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
-    """doc_id of the members that can have a link to another member at all.
+def able_to_link(members: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, reach of the members that can have a link to another member at all; and the sets of all members.
 
-    A link needs ``percent`` of a document's shingles in the other document, so a document too many of whose
-    shingles occur in no other member has none. In a large group of distant copies this settles most.
+    Some of a member's n shingles are in no other member; let u be the number of the rest. The intersection with
+    any member b is at most u, so a link needs (100 + percent) u >= percent (n + n_b), that is
+    percent * n_b <= reach with reach = (100 + percent) u - percent * n, and the same for b. In a large group of
+    distant copies this settles most members, and most pairs of the others.
     """
     ids = scratch.keep(members.select("doc_id").distinct(), "open_ids")
     sets = scratch.keep(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle), "open_sets")
     holders = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     own = holders.where("doc_id = last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
     sized = sets.groupBy("doc_id").agg(F.max(F.size("shingles")).alias("n"))
-    able = sized.join(own, "doc_id", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n"))
-    able = scratch.keep(able.select("doc_id"), "able_ids")
-    scratch.drop("open_sets")
-    return able
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    able = sized.join(own, "doc_id", "left").where(100 * shared >= percent * F.col("n"))
+    able = scratch.keep(able.select("doc_id", "n", ((100 + percent) * shared - percent * F.col("n")).alias("reach")), "able_ids")
+    return able, sets
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame, *, percent: int) -> pd.DataFrame:
+    """One link at most of each guest (right) with a host document (left), counted on the full sets."""
+    found = []
+    if len(left) and len(right):
+        sets = [np.asarray(x, dtype=np.int64) for x in left["shingles"]]
+        sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+        starts = np.cumsum(sizes) - sizes
+        ids, reach = left["doc_id"].to_numpy(), left["reach"].to_numpy()
+        for guest, shingles, limit in zip(right["doc_id"], right["shingles"], right["reach"]):
+            ordered = np.sort(np.asarray(shingles, dtype=np.int64))  # they come in the order of unsigned values
+            n = len(ordered)
+            likely = np.flatnonzero((limit >= percent * sizes) & (reach >= percent * n))
+            if not len(likely):
+                continue
+            at = np.minimum(np.searchsorted(ordered, flat), n - 1)
+            common = np.add.reduceat((ordered[at] == flat).astype(np.int64), starts)[likely]
+            linked = likely[100 * common >= percent * (n + sizes[likely] - common)]
+            if len(linked):
+                found.append((guest, ids[linked[0]]))
+    return pd.DataFrame({"a": [min(x) for x in found], "b": [max(x) for x in found]}, dtype="int64")
+
+
+def links_across(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components that meet in a bucket, enough to join all components that have any.
+
+    ``members``: band, doc_id, component, n and reach; ``sets``: doc_id and shingles. Components facing each other in a bucket
+    are paired, the larger one as host. Hosts and their guests are cut into chunks of about CHUNK shingles, and a
+    task compares one chunk of each, so that no pair of documents becomes a row.
+    """
+    bands = members.groupBy("band", "component").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    end = lambda c: bands.select("band", F.col("component").alias(f"c{c}"), F.col("n").alias(f"n_{c}"), F.col("reach").alias(f"reach_{c}"))
+    may = (F.col("reach_a") >= percent * F.col("n_b")) & (F.col("reach_b") >= percent * F.col("n_a"))
+    facing = scratch.keep(end("a").join(end("b"), "band").where((F.col("ca") < F.col("cb")) & may).select("ca", "cb").distinct(), "facing")
+    docs = scratch.keep(members.groupBy("doc_id").agg(F.min("component").alias("component"), F.first("n").alias("n"), F.first("reach").alias("reach")), "able_docs")
+    sets = sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    sizes = docs.groupBy("component").agg(F.sum("n").alias("n"))
+    size = lambda c: sizes.select(F.col("component").alias(c), F.col("n").alias(f"size_{c}"))
+    sized = facing.join(size("ca"), "ca").join(size("cb"), "cb")
+    first = F.col("size_ca") >= F.col("size_cb")
+    pairs = scratch.keep(sized.select(F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("host"), F.when(first, F.col("cb")).otherwise(F.col("ca")).alias("guest"), F.greatest("size_ca", "size_cb").alias("host_size"), F.least("size_ca", "size_cb").alias("guest_size")), "pairs")
+    hosts = pairs.groupBy("host").agg(F.ceil(F.max("host_size") / CHUNK).alias("chunks"), F.ceil(F.sum("guest_size") / CHUNK).alias("guest_chunks"))
+    hosts = scratch.keep(hosts, "hosts")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    dealt = lambda of, chunk, guest_chunk: of.join(sets, "doc_id").select(*[F.col(c).alias(c) for c in ("host", "doc_id", "reach", "shingles")], chunk.alias("chunk"), guest_chunk.alias("guest_chunk"))
+    left = dealt(docs.withColumnRenamed("component", "host").join(hosts, "host"), part("chunks"), up_to("guest_chunks"))
+    guests = docs.withColumnRenamed("component", "guest").join(pairs.select("host", "guest"), "guest").join(hosts, "host")
+    right = dealt(guests, up_to("chunks"), part("guest_chunks"))
+    keys = ["host", "chunk", "guest_chunk"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_compare, percent=percent), "a long, b long")
+    return scratch.keep(found.distinct(), "across_links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -228,13 +286,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     mixed = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band")
     mixed = scratch.keep(mixed, "mixed")
     open_members = scratch.keep(placed.join(mixed, "band"), "open")
-    open_members = scratch.keep(open_members.join(able_to_link(open_members, docs, scratch, shingle, percent), "doc_id"), "able")
-    groups = open_members.select("band", "component").distinct()
-    facing = groups.withColumnRenamed("component", "ca").join(groups.withColumnRenamed("component", "cb"), "band").where("ca < cb")
-    x = open_members.select("band", F.col("doc_id").alias("x"), F.col("component").alias("ca"), F.col("a").alias("head"))
-    y = open_members.select("band", F.col("doc_id").alias("y"), F.col("component").alias("cb"))
-    across = facing.join(x, ["band", "ca"]).join(y, ["band", "cb"]).where("x <> head and y <> head").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = check(across, "across")
+    able, sets = able_to_link(open_members, docs, scratch, shingle, percent)
+    more = links_across(scratch.keep(open_members.join(able, "doc_id"), "able"), sets, scratch, percent)
     closed = components(links.unionByName(more), scratch, "all")
 
     placed_classes = classes.select("key_a", "key_b", "doc_id").join(closed.withColumnRenamed("node", "doc_id"), "doc_id", "left")
