@@ -130,9 +130,9 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id all follow the largest number of copies decided for it.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_taken_id")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_taken_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_tessera_copies")).where("_tessera_copies > 0").withColumnRenamed("doc_id", "_tessera_taken")
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_tessera_taken")))
+    return joined.withColumn("_tessera_copy", F.explode(F.sequence(F.lit(1), F.col("_tessera_copies").cast("int")))).select(*docs.columns)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

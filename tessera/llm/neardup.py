@@ -300,8 +300,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The documents that represent their group. Rows that repeat a doc_id stay if any of them does."""
     found = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left_anti").select(*docs.columns)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_tessera_gone"))
+    return docs.join(gone, docs["doc_id"] == F.col("_tessera_gone"), "left_anti").select(*docs.columns)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

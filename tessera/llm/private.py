@@ -181,10 +181,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = found_spans(docs).where(F.size(spans) > 0).select("doc_id", F.sha2("text", 256).alias("_key"), done.alias("_clean")).dropDuplicates(["doc_id", "_key"])
-    changed = Scratch(docs.sparkSession, "sanitised").keep(changed, "changed").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(changed, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(whole_text(), 256) == F.col("_key")), "left")
-    return joined.withColumn("text", F.coalesce("_clean", "text")).select(*docs.columns)
+    changed = found_spans(docs).where(F.size(spans) > 0).select("doc_id", F.sha2("text", 256).alias("_tessera_key"), done.alias("_tessera_clean")).dropDuplicates(["doc_id", "_tessera_key"])
+    changed = Scratch(docs.sparkSession, "sanitised").keep(changed, "changed").withColumnRenamed("doc_id", "_tessera_id")
+    joined = docs.join(changed, docs["doc_id"].eqNullSafe(F.col("_tessera_id")) & (F.sha2(whole_text(), 256) == F.col("_tessera_key")), "left")
+    return joined.withColumn("text", F.coalesce("_tessera_clean", "text")).select(*docs.columns)
 
 
 def _listed(columns: dict[str, str]) -> Column:

@@ -73,13 +73,13 @@ def statistics(n: dict[str, Column]) -> dict[str, Column]:
 
 
 def with_statistics(docs: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column]]:
-    """``docs`` with the counts of ``text`` as ``_n_`` columns, and the statistics over them.
+    """``docs`` with the counts of ``text`` as ``_tessera_`` columns, and the statistics over them.
 
     The counts come out of a generator, through which the optimizer pushes no filter; else a filter on the
     score would read the text once for every threshold of every rule.
     """
-    counted = docs.select("*", F.inline(F.array(F.struct(*[c.alias(f"_n_{k}") for k, c in counts(text).items()]))))
-    return counted, statistics({k: F.col(f"_n_{k}") for k in counts(text)})
+    counted = docs.select("*", F.inline(F.array(F.struct(*[c.alias(f"_tessera_{k}") for k, c in counts(text).items()]))))
+    return counted, statistics({k: F.col(f"_tessera_{k}") for k in counts(text)})
 
 
 @dataclass
@@ -198,17 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """All columns of ``docs`` with ``_score``."""
+    """All columns of ``docs`` with ``_tessera_score``."""
     counted, stats = with_statistics(docs, whole_text())
-    return counted.select(*docs.columns, model.column(stats).alias("_score"))
+    return counted.select(*docs.columns, model.column(stats).alias("_tessera_score"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts."""
-    return scored(docs, fit(docs, labels)).where("_score >= 0.5").select(*docs.columns)
+    return scored(docs, fit(docs, labels)).where("_tessera_score >= 0.5").select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), F.col("_tessera_score").alias("score"), (F.col("_tessera_score") >= 0.5).cast("int").alias("predicted"))
