@@ -12,8 +12,8 @@ number of captures for each URL; each slice's last response is found by aggregat
 slices, so that no window runs over all captures of a URL.
 
 Nulls: records without a URL or a time are returned unresolved. An unparsable URL is its own canonical form.
-Rows that repeat a record id are resolved one by one. Extra columns are kept by resolve_revisits(). An empty
-table gives no rows. WARC files that end early give their whole records only.
+Rows that repeat a record id are resolved one by one. Extra columns are kept by resolve_revisits(), but
+those named as one that it adds. An empty table gives no rows. WARC files that end early give their whole records only.
 """
 
 from __future__ import annotations
@@ -145,6 +145,10 @@ def merged_headers(mine: str, prior: str) -> Column:
     return F.map_concat(rest, updates)
 
 
+#: What resolution adds.
+RESOLVED = ["canonical_url", "resolution", "source_id", "final_status", "final_headers", "final_digest"]
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``records`` (RECORD columns without the payload, and ``payload_digest``) with canonical_url, resolution, source_id, final_status, final_headers, final_digest.
 
@@ -153,8 +157,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     scratch = Scratch(records.sparkSession, "warc")
     empty = F.expr("cast(map() as map<string,string>)")
-    keyed = records.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("headers", F.coalesce("headers", empty))
-    keyed = keyed.withColumns({"key": F.col("canonical_url"), "at": F.unix_micros("captured_at"), "tie": F.col("record_id"), "full": F.coalesce(F.col("record_type") == "response", F.lit(False)), "info": F.struct("record_id", "status", "headers", "payload_digest")})
+    core = ["record_id", "record_type", "url", "captured_at", "status", "headers", "payload_digest"]
+    extra = [c for c in records.columns if c not in (*core, *RESOLVED)]
+    carried = F.struct(*extra) if extra else F.lit(None)
+    keyed = records.select(*core, carried.alias("extra")).withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("headers", F.coalesce("headers", empty))
+    keyed = keyed.withColumns({"key": F.col("canonical_url"), "at": F.unix_micros("captured_at"), "tie": F.col("record_id"), "full": F.coalesce(F.col("record_type") == "response", F.lit(False))})
     usable = F.col("key").isNotNull() & F.col("at").isNotNull()
     # A map cannot be compared, so the struct that is carried holds its sorted entries.
     entries = F.array_sort(F.map_entries("headers"))
@@ -171,7 +178,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "final_status": F.when(taken, F.col("prior.info.status")).otherwise(F.col("status")),
         "final_headers": F.when(taken, merged_headers("headers", "prior_headers")).otherwise(F.col("headers")),
         "final_digest": F.when(taken, F.col("prior.info.payload_digest")).otherwise(F.col("payload_digest")),
-    }).drop("key", "at", "tie", "full", "info", "prior", "prior_headers")
+    }).select(*core, *RESOLVED, *(["extra.*"] if extra else []))
 
 
 def with_payloads(resolved: DataFrame, records: DataFrame) -> DataFrame:
