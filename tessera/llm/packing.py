@@ -31,7 +31,7 @@ END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 #: Rows numbered together; one length that holds many documents is dealt over several such groups.
-RANK_GROUP = 50_000
+RANK_GROUP = 2_000
 #: Texts are encoded in slices of about so many characters, cut where the vocabulary always cuts.
 SLICE = 1_000_000
 
