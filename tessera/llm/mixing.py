@@ -25,7 +25,7 @@ from tessera.llm.common import Scratch, documents, whole_text
 
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (5, 2, 1)
 #: Documents paired in one task, and residuals combined in one task.
-GROUP, FAN_IN = 20_000, 64
+GROUP, FAN_IN = 2_000, 64
 #: A fraction this near to a whole number is whole.
 EPSILON = 1e-9
 
