@@ -117,7 +117,7 @@ def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[tuple]
                     rows = [(doc, path, 0, "unknown", "", None, None, "failed", f"{type(error).__name__}: {error}")]
                 yield pd.DataFrame(rows, columns=names).astype({"page_number": "Int32", "heading_level": "Int32"})
 
-    return files.select("path", "content", document_id(F.col("content")), file_format(F.col("path"))).mapInPandas(run, ELEMENT)
+    return files.select("path", "content", document_id(F.col("content")).alias("doc"), file_format(F.col("path")).alias("kind")).mapInPandas(run, ELEMENT)
 
 
 def cells(files: DataFrame) -> DataFrame:
@@ -128,13 +128,13 @@ def cells(files: DataFrame) -> DataFrame:
             for path, raw, doc in batch.itertuples(index=False):
                 yield pd.DataFrame([(doc, path, *c) for c in xlsx_cells(bytes(raw))], columns=[c.split()[0] for c in CELL.split(", ")])
 
-    return files.where(file_format(F.col("path")) == "excel").select("path", "content", document_id(F.col("content"))).mapInPandas(run, CELL)
+    return files.where(file_format(F.col("path")) == "excel").select("path", "content", document_id(F.col("content")).alias("doc")).mapInPandas(run, CELL)
 
 
 def batch_counts(parsed: DataFrame) -> DataFrame:
     """One row: files ok, partial and failed."""
     each = parsed.groupBy("path").agg(F.count_if(F.col("status") == "failed").alias("bad"), F.count(F.lit(1)).alias("n"))
-    return each.agg(F.count_if("bad = 0").alias("ok"), F.count_if("bad > 0 and bad < n").alias("partial"), F.count_if("bad = n").alias("failed"))
+    return each.agg(F.count_if(F.expr("bad = 0")).alias("ok"), F.count_if(F.expr("bad > 0 and bad < n")).alias("partial"), F.count_if(F.expr("bad = n")).alias("failed"))
 
 
 def canonical(spark: SparkSession, folder: str) -> DataFrame:
