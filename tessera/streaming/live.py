@@ -19,7 +19,8 @@ def new_content(chunks: DataFrame, at: str = "ingested_at", late: str = "1 day")
 
 def status_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and mean run time by status in event-time windows; later events than ``late`` are dropped."""
-    requests = telemetry.from_events(events).withWatermark("started_at", late)
+    timed = telemetry.from_events(events).withColumn("started_at", F.col("started_at").cast("timestamp"))  # watermarks need a time zone
+    requests = timed.withWatermark("started_at", late)
     grouped = requests.groupBy(F.window("started_at", width).alias("w"), "status").agg(F.count(F.lit(1)).alias("n"), F.avg("runtime_ms").alias("avg_runtime_ms"))
     return grouped.select(F.col("w.start").alias("window_start"), "status", "n", "avg_runtime_ms")
 
