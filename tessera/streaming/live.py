@@ -25,8 +25,8 @@ def status_windows(events: DataFrame, width: str = "1 hour", late: str = "10 min
     return grouped.select(F.col("w.start").alias("window_start"), "status", "n", "avg_runtime_ms")
 
 
-def live_memory(messages: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """The bounded memory of each conversation after every batch; idle sessions are forgotten."""
+def live_memory(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The bounded memory of each conversation after every batch. With ``idle_ms``, idle sessions are forgotten; such a query never falls idle itself."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,8 +37,9 @@ def live_memory(messages: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         for role, text in pd.concat(list(batches)).sort_values("turn")[["role", "text"]].itertuples(index=False):
             turns, summary = sessions.remember(turns, summary, role or "", text or "")
         state.update(([list(t) for t in turns], summary))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"conv_id": [key[0]], "n_turns": [len(turns)], "n_chars": [sum(len(c) for _, c in turns)], "summary": [summary]})
 
     out = "conv_id long, n_turns long, n_chars long, summary string"
-    return messages.groupBy("conv_id").applyInPandasWithState(step, out, "turns array<array<string>>, summary string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("conv_id").applyInPandasWithState(step, out, "turns array<array<string>>, summary string", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
