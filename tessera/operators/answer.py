@@ -16,8 +16,8 @@ STRICT = " Chế độ nghiêm ngặt: tuyệt đối chỉ dùng ngữ cảnh."
 
 @F.pandas_udf(T.StringType())
 def fake_llm(prompt: pd.Series) -> pd.Series:
-    """A deterministic stand-in: the first context passage's first line."""
-    return prompt.map(lambda p: next((b.split("\n", 1)[1].split("\n")[0] for b in (p or "").split("\n\n") if b.lstrip().startswith("[S1]") and "\n" in b), ""))
+    """A deterministic stand-in: the first context passage's first line. No prompt, no answer."""
+    return prompt.map(lambda p: None if p is None else next((b.split("\n", 1)[1].split("\n")[0] for b in (p or "").split("\n\n") if b.lstrip().startswith("[S1]") and "\n" in b), ""))
 
 
 def context_block(kept: DataFrame) -> DataFrame:
@@ -40,14 +40,18 @@ def prompt(context: Column, n: Column, question: Column, history: Column | None
 
 
 def answers(questions: DataFrame, kept: DataFrame, outcomes: DataFrame, llm=fake_llm) -> DataFrame:
-    """question_id, ok, fallback, reason, answer. The model sees only questions with evidence; the others take the fallback path in a union."""
+    """question_id, ok, fallback, reason, answer.
+
+    A question that is refused or has no evidence gets no prompt: the model function sees a null there and must
+    return null without running.
+    """
     guard = X.input_guard(F.col("question"))
     asked = questions.withColumns({f"in_{k}": c for k, c in guard.items()}).join(outcomes, "question_id")
-    refused = asked.where("not in_ok").select("question_id", F.lit(False).alias("ok"), F.lit(True).alias("fallback"), F.col("in_reason").alias("reason"), F.lit(hybrid.FALLBACK).alias("answer"))
-    empty = asked.where("in_ok and fallback").select("question_id", F.lit(False).alias("ok"), F.lit(True).alias("fallback"), "reason", F.lit(hybrid.FALLBACK).alias("answer"))
-    full = asked.where("in_ok and not fallback").join(context_block(kept), "question_id").join(hybrid.citations(kept), "question_id")
-    said = full.withColumn("said", llm(prompt(F.col("context"), F.col("n"), F.col("question"))))
+    full = asked.join(context_block(kept), "question_id", "left").join(hybrid.citations(kept), "question_id", "left")
+    live = F.col("in_ok") & ~F.col("fallback") & F.col("context").isNotNull()
+    said = full.withColumn("live", live).withColumn("said", llm(F.when(live, prompt(F.col("context"), F.col("n"), F.col("question")))))
     out = X.output_guard(F.col("said"), F.lit(True), hybrid.FALLBACK)
-    final = F.when(out["ok"], F.concat(out["answer"], F.lit("\n\nNguồn: "), F.array_join("citations", ", "))).otherwise(out["answer"])
-    done = said.select("question_id", out["ok"].alias("ok"), (~out["ok"]).alias("fallback"), out["reason"].alias("reason"), final.alias("answer"))
-    return refused.unionByName(empty).unionByName(done)
+    ok = F.col("live") & out["ok"]
+    cited = F.concat(out["answer"], F.lit("\n\nNguồn: "), F.array_join("citations", ", "))
+    reason = F.when(~F.col("in_ok"), F.col("in_reason")).when(F.col("fallback"), F.col("reason")).otherwise(out["reason"])
+    return said.select("question_id", ok.alias("ok"), (~ok).alias("fallback"), reason.alias("reason"), F.when(ok, cited).otherwise(F.lit(hybrid.FALLBACK)).alias("answer"))

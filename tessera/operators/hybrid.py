@@ -16,13 +16,17 @@ FALLBACK = "Tôi không tìm thấy thông tin phù hợp trong tài liệu."
 def fuse(lists: list[DataFrame], question_id: str = "question_id", key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """question_id, key, fused = sum of 1 / (k + rank); ``place`` orders ties by list, then rank.
 
-    Full outer joins of any number of lists are one union and one aggregation.
+    Lists are joined full outer. (A union of ranked lists would claim their partitioning, which fails in Spark 4.1
+    when adaptive execution coalesces one list only.)
     """
-    rows = [ranked.select(question_id, key, "rank", F.lit(i).alias("list")) for i, ranked in enumerate(lists)]
-    everything = rows[0]
-    for more in rows[1:]:
-        everything = everything.unionByName(more)
-    return everything.groupBy(question_id, key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("fused"), F.min(F.struct("list", "rank")).alias("place"))
+    joined = None
+    for i, ranked in enumerate(lists):
+        rows = ranked.select(question_id, key, F.col("rank").alias(f"_r{i}"))
+        joined = rows if joined is None else joined.join(rows, [question_id, key], "full")
+    ranks = [F.col(f"_r{i}") for i in range(len(lists))]
+    fused = sum((F.coalesce(1.0 / (k + r), F.lit(0.0)) for r in ranks), F.lit(0.0))
+    place = F.coalesce(*[F.when(r.isNotNull(), F.struct(F.lit(i).alias("list"), r.alias("rank"))) for i, r in enumerate(ranks)])
+    return joined.select(question_id, key, fused.alias("fused"), place.alias("place"))
 
 
 def resolve_threshold(override: float | None, configured: float | None) -> float | None:

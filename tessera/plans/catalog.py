@@ -6,6 +6,7 @@ footers), so those are derived from columns by fixed rules, stated beside each q
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -543,7 +544,7 @@ def correction_audit(spark, sf):
 def generation_publish(spark, sf):
     root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-generations"
     chunks = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.lit("text").alias("type"), F.col("text").alias("content"))
-    home = index.build(chunks, root, "g" + str(abs(hash(sf)) % 10**8))
+    home = index.build(chunks, root, f"g{zlib.crc32(sf.encode())}")
     verified = index.verify(spark, home, chunks.count())
     index.publish(spark, root, home.rsplit("/", 1)[1], verified)
     return verified
