@@ -4,12 +4,14 @@ A token is predicted from the tokens on both sides of it, never from itself. Wor
 corpus-wide counts give the most frequent hashes a class of their own and spread the rest over a few shared
 classes. A window network in numpy embeds two tokens on each side, passes them through one hidden layer and
 predicts the token's class in two steps (group, then member given the group). Every partition of the corpus
-trains a copy on all its documents; the copies are averaged, weighted by tokens. A document's score is the
-sum over its tokens of the log-probability of each given its two sides.
+trains a copy on all its documents; the copies are averaged, weighted by tokens. Which word of its class a
+token is does not depend on its sides: log P(word | class) comes from the counts of all words of the corpus,
+a written table without a limit. A document's score is the sum over its tokens of both logarithms.
 
 Null and empty texts have no tokens and score 0. Rows that repeat a doc_id are scored one by one. Extra columns
-are ignored; an empty table gives no rows. The average is taken over integers, so it does not depend on the
-order of the partitions, but it does depend on how the table is cut into partitions.
+are ignored; an empty table gives no rows. The average and the sums over rare words are taken over integers, so
+they do not depend on the order of the partitions, but the average does depend on how the table is cut into
+partitions. Words are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, whole_text
+from tessera.llm.common import Scratch, documents, whole_text
 
 BUCKETS = 1 << 16
 #: Classes: GROUPS x GROUPS; the last SHARED are shared by the hashes that are not frequent.
@@ -32,15 +34,27 @@ EMBED, HIDDEN, SIDE = 16, 32, 2
 BATCH, RATE = 1024, 0.7
 #: Averages are taken over integers of so many parts of one.
 FIXED = 1 << 20
+#: Words that make up at least one token in so many are sent to the tasks (there are no more than that); the rest are joined.
+COMMON = 4096
 _ONES = np.ones(GROUPS, np.float32)
 
 
-def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash bucket of every word of all texts, and the number of words of each."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of all texts, and the number of words of each."""
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     flat = np.empty(sum(map(len, words)), dtype=object)
     flat[:] = [w for ws in words for w in ws]
-    return (pd.util.hash_array(flat, categorize=False) >> np.uint64(48)).astype(np.int64), np.array([len(w) for w in words], dtype=np.int64)
+    return pd.util.hash_array(flat, categorize=False).view(np.int64), np.array([len(w) for w in words], dtype=np.int64)
+
+
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash bucket of every word of all texts, and the number of words of each."""
+    hashes, counts = word_hashes(texts)
+    return _buckets(hashes), counts
 
 
 def _parts(batches: Iterator[pd.DataFrame], size: int = 256) -> Iterator[pd.DataFrame]:
@@ -50,19 +64,30 @@ def _parts(batches: Iterator[pd.DataFrame], size: int = 256) -> Iterator[pd.Data
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in _parts(batches, 2048):
+        words, n = np.unique(word_hashes(part["text"].tolist())[0], return_counts=True)
+        yield pd.DataFrame({"word": words, "n": n})
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word (its hash), n: every word of the corpus."""
+    return texts.mapInPandas(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def bucket_counts(words: DataFrame) -> np.ndarray:
+    """Tokens in every hash bucket. The driver gets one row a bucket at most."""
+    counts = words.groupBy(F.shiftrightunsigned("word", 48).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(BUCKETS, np.int64)
-    for part in _parts(batches):
-        total += np.bincount(hashed_words(part["text"].tolist())[0], minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": used, "n": total[used]})
+    total[counts["bucket"].to_numpy(np.int64)] = counts["n"]
+    return total
 
 
-def class_table(texts: DataFrame) -> np.ndarray:
-    """Class of every hash bucket, by its count over the whole corpus. The driver gets one row a bucket at most."""
-    counts = texts.mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("n").desc(), "bucket").limit(CLASSES - SHARED).collect()
+def class_table(total: np.ndarray) -> np.ndarray:
+    """Class of every hash bucket, by its count over the whole corpus."""
+    own = np.argsort(-total, kind="stable")[: CLASSES - SHARED]
+    own = own[total[own] > 0]
     table = CLASSES - SHARED + np.arange(BUCKETS) % SHARED
-    table[[r["bucket"] for r in rows]] = np.arange(len(rows))
+    table[own] = np.arange(len(own))
     return table.astype(np.int16)
 
 
@@ -149,23 +174,40 @@ def _train(batches: Iterator[pd.DataFrame], *, table: np.ndarray) -> Iterator[pd
         yield pd.DataFrame({"place": np.arange(network.SIZE), "weighted": np.round(network.flat.astype(np.float64) * FIXED).astype(np.int64) * total, "tokens": total})
 
 
-def _score(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarray) -> Iterator[pd.DataFrame]:
+def _score(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarray, common: dict[str, np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+    """Scores of the classes. With ``common`` (word, log_n, log_class) also of the common words given their classes,
+    and the rare words of each row with their numbers; what log P(word | class) takes from the class's size is in the
+    score for rare words too, the logarithm of their own count is not."""
     network = WindowNetwork(flat)
     for part in _parts(batches):
-        buckets, counts = hashed_words(part["text"].tolist())
-        token = table[buckets].astype(np.int64)
+        hashes, counts = word_hashes(part["text"].tolist())
+        token = table[_buckets(hashes)].astype(np.int64)
         around, logs = windows(token, counts), np.zeros(len(token))
         for start in range(0, len(token), 4 * BATCH):
             at = slice(start, start + 4 * BATCH)
             logs[at] = network.log_probabilities(around[at], token[at])
+        more = {}
+        if common is not None:
+            words, which = np.unique(hashes, return_inverse=True)
+            known = common["word"]
+            at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+            found = known[at] == words if len(known) else np.zeros(len(words), bool)
+            log_n = np.zeros(len(words))
+            log_n[found] = common["log_n"][at[found]]
+            logs += log_n[which] - common["log_class"][token]
+            rare = ~found[which]
+            row = np.repeat(np.arange(len(counts)), counts)[rare]
+            pairs, n = np.unique(row * max(len(words), 1) + which[rare], return_counts=True)
+            cuts = np.searchsorted(pairs // max(len(words), 1), np.arange(1, len(counts)))
+            more = {"row": part["row"].to_numpy(), "rare": np.split(words[pairs % max(len(words), 1)], cuts), "rare_n": np.split(n, cuts)}
         sums = np.concatenate([[0.0], np.cumsum(logs)])
         ends = np.cumsum(counts)
-        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": counts, "pseudo_log_likelihood": sums[ends] - sums[ends - counts]})
+        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": counts, "pseudo_log_likelihood": sums[ends] - sums[ends - counts]} | more)
 
 
-def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Class table and network, from all texts."""
-    table = class_table(texts)
+def fit(texts: DataFrame, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Class table and network, from all texts. ``total``: bucket_counts() of the same texts."""
+    table = class_table(bucket_counts(word_counts(texts)) if total is None else total)
     copies = texts.mapInPandas(partial(_train, table=table), "place long, weighted long, tokens long")
     # Sums of products of a parameter and a token count; decimals keep them exact for any corpus.
     mean = copies.groupBy("place").agg((F.sum(F.col("weighted").cast("decimal(38,0)")) / F.sum("tokens")).cast("double").alias("mean"))
@@ -176,11 +218,31 @@ def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table, flat
 
 
+def common_words(words: DataFrame, total: np.ndarray, table: np.ndarray) -> dict[str, np.ndarray]:
+    """Logarithms of the counts of common words, by hash, and of all classes."""
+    rows = words.where(F.col("n") * COMMON >= int(total.sum())).orderBy("word").collect()  # COMMON rows at most
+    sizes = np.bincount(table, weights=total, minlength=CLASSES)
+    return {"word": np.array([r["word"] for r in rows], np.int64), "log_n": np.log(np.array([r["n"] for r in rows], np.float64)), "log_class": np.log(np.maximum(sizes, 1))}
+
+
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood (natural logarithm, summed) and its mean per token."""
+    scratch = Scratch(docs.sparkSession, "likelihood")
     texts = docs.select("doc_id", whole_text().alias("text"))
-    table, flat = fit(texts.select("text"))
-    scores = texts.mapInPandas(partial(_score, table=table, flat=flat), "doc_id long, n_tokens long, pseudo_log_likelihood double")
+    words = scratch.keep(word_counts(texts.select("text")), "words")
+    total = bucket_counts(words)
+    table, flat = fit(texts.select("text"), total)
+    scorer = partial(_score, table=table, flat=flat, common=common_words(words, total, table))
+    # Numbers of rows hold once they are written.
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    scored = scratch.keep(numbered.mapInPandas(scorer, "doc_id long, n_tokens long, pseudo_log_likelihood double, row long, rare array<long>, rare_n array<long>"), "scored")
+    held = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
+    logs = words.select("word", F.round(F.log("n") * FIXED).cast("long").alias("log_n"))
+    rare = held.join(logs, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("rare_log"))
+    scores = scored.drop("rare", "rare_n").join(rare, "row", "left")
+    # A word alone in its class adds 0, up to rounding.
+    score = F.least(F.col("pseudo_log_likelihood") + F.coalesce("rare_log", F.lit(0)) / FIXED, F.lit(0.0))
+    scores = scores.select("doc_id", "n_tokens", score.alias("pseudo_log_likelihood"))
     return scores.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")).otherwise(F.lit(0.0)))
 
 

@@ -63,3 +63,27 @@ def test_odd_documents_and_empty_table(odd_docs, make_docs):
     assert len(got) == 13 and by[1]["pseudo_log_likelihood"] == 0 and by[1]["n_tokens"] == 0 and by[6]["n_tokens"] == 30_000
     assert all(np.isfinite(r["pseudo_log_likelihood"]) and r["pseudo_log_likelihood"] <= 0 for r in got)
     assert L.pseudo_likelihood(make_docs([])).collect() == []
+
+
+def test_words_of_one_shared_class_are_told_apart(make_docs):
+    """Exact counts: a word's share of its class is in the score, so that a junk word scores below a frequent one in its place."""
+    rows = corpus(300) + [(2000 + i, f"own{i % 400} own{i % 397} filler") for i in range(2400)]
+    table, _ = L.fit(make_docs(rows).select("text"))
+    bucket = lambda w: L.hashed_words([w])[0][0]
+    shared = lambda w: table[bucket(w)] >= L.CLASSES - L.SHARED
+    content = next(w for w in (f"content{i}" for i in range(1000)) if shared(w))
+    junk = [w for w in (f"junk{i}" for i in range(4000)) if bucket(w) != bucket(content) and shared(w) and table[bucket(w)] == table[bucket(content)]][:1]
+    assert junk
+    # Two equal texts with the exchanged word, and one more text that makes the content word frequent.
+    rows += [(9000, f"word1 word2 {content} word3"), (9001, f"word1 word2 {junk[0]} word3"), (9002, " ".join(["word5", content, "word7"] * 2))]
+    got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in L.pseudo_likelihood(make_docs(rows)).collect()}
+    assert got[9000] - got[9001] == pytest.approx(np.log(3), abs=1e-4)
+
+
+def test_rare_words_are_scored_like_common_ones(make_docs, monkeypatch):
+    rows = corpus(60) + [(500 + i, f"rare{i} word1 rare{i // 2} rare{i} word2") for i in range(40)] + [(500, "rare0 word1 rare0 rare0 word2")]
+    scores = lambda: sorted((r["doc_id"], r["n_tokens"], round(r["pseudo_log_likelihood"], 3)) for r in L.pseudo_likelihood(make_docs(rows)).collect())
+    want = scores()
+    monkeypatch.setattr(L, "COMMON", 1)  # nothing is common: every word is joined
+    got = scores()
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
