@@ -90,3 +90,15 @@ def test_odd_documents_and_empty_table(odd_docs, make_docs):
     assert private.found_spans(odd_docs).count() == 13
     assert sorted(r["doc_id"] or -1 for r in private.sanitised(odd_docs).collect()) == sorted(r["doc_id"] or -1 for r in odd_docs.collect())
     assert private.sanitised(make_docs([])).collect() == []
+
+
+def actions(docs, spark):
+    from tessera.llm.common import Scratch
+
+    return {r["term"]: r["action"] for r in private.disclosing_terms(private.base_spans(docs), docs, Scratch(spark, "t")).collect()}
+
+
+def test_an_entity_of_two_texts_is_judged(make_docs, spark):
+    rows = [(i, f"filler words of text {i}") for i in range(300)] + [(400 + i, f"then quarzine {w} wrote to x@y.zz again{w}") for i, w in enumerate(("first", "second"))]
+    got = actions(make_docs(rows), spark)
+    assert got["quarzine"] == "generalise" and not {"first", "second", "filler"} & set(got)
