@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data, in Spark column expressions only.
 
 Patterns find four kinds of personal data in the whole text. What they find are the protected entities. A
-term that stands near an entity in several different texts may itself give the entity away: with document
-frequencies over the whole corpus, PMI(term; entity) = log2(p(term, entity) / (p(term) p(entity))) is
+term that stands in the same texts as an entity may itself give the entity away: with document frequencies of
+both and of the two together, all of whole texts and over the whole corpus, PMI(term; entity) = log2(p(term, entity) / (p(term) p(entity))) is
 compared with the entity's information IC(entity) = -log2 p(entity). The bits missing between them are
 -log2 p(entity | term), where p is shrunk by k / (k + ``UNSEEN``) for the k different texts it was seen in; a
 term leaving no more than ``GENERALISE_BITS`` of them, while its PMI is at least ``LEAST_BITS``, discloses the
@@ -42,8 +42,6 @@ HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x
 #: nothing) and 0.287 (a term that four texts hold, all with the entity, is removed).
 UNSEEN = 0.27
 GENERALISE_BITS, REMOVE_BITS, LEAST_BITS = 0.33, 0.1, 4.0
-#: Characters on each side of an entity in which terms count as near.
-NEAR = 120
 TRIM = ".,;:!?()[]{}\"'*#$%&|"
 
 
@@ -109,6 +107,22 @@ def _term(word: Column) -> Column:
     return F.btrim(F.lower(word), F.lit(TRIM))
 
 
+def _terms_outside(spans: Column) -> Column:
+    """The different terms of the words of ``text`` that overlap none of the spans."""
+    # White space becomes a space; then a tab marks where an entity was, and the words that it touches.
+    text = F.translate("text", "\t\n\x0b\x0c\r", " " * 5)
+
+    def step(acc: Column, s: Column) -> Column:
+        part = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], part, F.lit("\t")).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    marked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    words = F.filter(F.regexp_extract_all(marked, F.lit("[^ ]+"), F.lit(0)), lambda w: ~F.contains(w, F.lit("\t")))
+    return F.array_distinct(F.transform(words, _term))
+
+
 def _shrunk_bits(texts: str) -> Column:
     """What shrinking takes from log2 p(entity | term), for a term and entity seen together in so many texts; falls with them."""
     return F.log2(1 + F.lit(UNSEEN) / F.col(texts))
@@ -117,19 +131,18 @@ def _shrunk_bits(texts: str) -> Column:
 def disclosing_terms(spans: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """term, action: the terms that give a protected entity away. ``spans``: base_spans() of the same documents."""
     found = spans.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0)
-    entities = found.select("text", F.xxhash64("text").alias("text_key"), F.explode(F.concat(*[_with_kind(k) for k in PATTERNS])).alias("e"))
-    # The words wholly inside the stretch before and after the entity; the cut-off words at the far ends are dropped.
-    before = F.regexp_replace(F.substring(F.col("text"), F.greatest(F.col("e.start") - NEAR, F.lit(0)) + 1, F.least(F.col("e.start"), F.lit(NEAR))), r"^[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+$", "")
-    after = F.regexp_replace(F.substring(F.col("text"), F.col("e.end") + 1, F.lit(NEAR)), r"^[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+$", "")
-    near = F.array_distinct(F.concat(F.regexp_extract_all(before, F.lit(WORD), F.lit(0)), F.regexp_extract_all(after, F.lit(WORD), F.lit(0))))
-    mentions = scratch.keep(entities.select("text_key", F.xxhash64("e.kind", "e.value").alias("entity"), near.alias("near")), "mentions")
-
-    widespread = mentions.groupBy("entity", "text_key").agg(F.count(F.lit(1)).alias("docs")).groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("entity_docs")).where(_shrunk_bits("texts") <= GENERALISE_BITS)
+    everything = F.concat(*[_with_kind(k) for k in PATTERNS])
+    entities = F.array_distinct(F.transform(everything, lambda s: F.xxhash64(s["kind"], s["value"])))
+    texts = found.select(F.xxhash64("text").alias("text_key"), entities.alias("entities"), _terms_outside(everything).alias("terms"))
+    texts = scratch.keep(texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("docs"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "texts")
+
+    mentions = texts.select("text_key", "docs", F.explode("entities").alias("entity"))
+    widespread = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("entity_docs")).where(_shrunk_bits("texts") <= GENERALISE_BITS)
     widespread = scratch.keep(widespread, "widespread")
-    close = mentions.join(widespread, "entity").select("entity", "entity_docs", "text_key", F.explode("near").alias("word"))
-    close = close.select("entity", "entity_docs", "text_key", _term(F.col("word")).alias("term")).where("length(term) >= 3 and not term rlike '[0-9@]'")
-    joint = close.groupBy("entity", "entity_docs", "term", "text_key").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "entity_docs", "term")
-    joint = joint.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("together")).where(_shrunk_bits("texts") <= GENERALISE_BITS)
+    held = mentions.join(widespread.drop("texts"), "entity").join(texts.select("text_key", "terms"), "text_key")
+    held = held.select("entity", "entity_docs", "docs", F.explode("terms").alias("term")).where("length(term) >= 3 and not term rlike '[0-9@]'")
+    joint = held.groupBy("entity", "entity_docs", "term")
+    joint = joint.agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("together")).where(_shrunk_bits("texts") <= GENERALISE_BITS)
     joint = scratch.keep(joint, "joint")
 
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0)), _term))).alias("term"))

@@ -102,3 +102,12 @@ def test_an_entity_of_two_texts_is_judged(make_docs, spark):
     rows = [(i, f"filler words of text {i}") for i in range(300)] + [(400 + i, f"then quarzine {w} wrote to x@y.zz again{w}") for i, w in enumerate(("first", "second"))]
     got = actions(make_docs(rows), spark)
     assert got["quarzine"] == "generalise" and not {"first", "second", "filler"} & set(got)
+
+
+def test_terms_at_the_edges_and_far_from_the_entity(make_docs, spark):
+    far = " ".join(f"filler{i % 9}" for i in range(80))
+    rows = [(i, f"filler words of text {i} {far}") for i in range(300)]
+    rows += [(400 + i, f"Zorblax: x@y.zz {far} in\tplace{i} {far} Quarzine") for i in range(4)] + [(500 + i, f"part{i} pre-x@y.zz-post x@y.zz\n+49 30 1234567 Inner 1.2.3.4") for i in range(4)]
+    got = actions(make_docs(rows), spark)
+    assert got["zorblax"] == got["quarzine"] == got["inner"] == "remove"
+    assert not any("x@y" in t or "1234567" in t or "+49" in t or "post" in t for t in got)
