@@ -9,7 +9,7 @@ term leaving no more than ``GENERALISE_BITS`` of them, while its PMI is at least
 entity. Below ``REMOVE_BITS`` it is removed, otherwise generalised. Such terms
 are spans in every text that holds them, beside the base spans, which always stay.
 
-Terms are words without the punctuation around them, in lower case; those that overlap an entity are part of
+Terms are words without the punctuation around them, in lower case, of any length and with any characters; those that overlap an entity are part of
 it and are left out. k counts different texts, so copies of one text prove nothing. No entity has a
 least support of its own: one text leaves 0.345 bits at best, two leave 0.183, and pairs that even their best
 case leaves above ``GENERALISE_BITS`` need no further counting.
@@ -140,7 +140,7 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, scratch: Scratch) -> Dat
     widespread = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("entity_docs")).where(_shrunk_bits("texts") <= GENERALISE_BITS)
     widespread = scratch.keep(widespread, "widespread")
     held = mentions.join(widespread.drop("texts"), "entity").join(texts.select("text_key", "terms"), "text_key")
-    held = held.select("entity", "entity_docs", "docs", F.explode("terms").alias("term")).where("length(term) >= 3 and not term rlike '[0-9@]'")
+    held = held.select("entity", "entity_docs", "docs", F.explode("terms").alias("term")).where("term != ''")
     joint = held.groupBy("entity", "entity_docs", "term")
     joint = joint.agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("together")).where(_shrunk_bits("texts") <= GENERALISE_BITS)
     joint = scratch.keep(joint, "joint")

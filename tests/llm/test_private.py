@@ -111,3 +111,9 @@ def test_terms_at_the_edges_and_far_from_the_entity(make_docs, spark):
     got = actions(make_docs(rows), spark)
     assert got["zorblax"] == got["quarzine"] == got["inner"] == "remove"
     assert not any("x@y" in t or "1234567" in t or "+49" in t or "post" in t for t in got)
+
+
+def test_identifiers_disclose(make_docs, spark):
+    rows = [(i, f"filler words of text {i}") for i in range(300)] + [(400 + i, f"case{i} emp-4471 acct77 K9 @desk writes to x@y.zz") for i in range(4)]
+    got = actions(make_docs(rows), spark)
+    assert {got.get(t) for t in ("emp-4471", "acct77", "k9", "@desk")} == {"remove"} and "" not in got and "case1" not in got
