@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -25,14 +26,17 @@ def payload_filter(local: bool = True, **wanted) -> Column:
 def cosine_scores(questions: DataFrame, store: DataFrame, question_id: str = "question_id", key: str = "chunk_id") -> DataFrame:
     """question_id, key, dense for every pair. Questions are the small side and are sent to the store's tasks.
 
-    The store is scanned once, in Arrow batches; a batch is multiplied with all questions as one matrix. More than
-    QUERY_LIMIT questions are refused: split them, or use an index.
+    Questions come in blocks of QUERY_LIMIT. For each the store is scanned once, in Arrow batches; a batch is multiplied
+    with the block as one matrix. The driver holds all questions' vectors, a task those of one block.
     """
-    rows = questions.select(question_id, "embedding").limit(QUERY_LIMIT + 1).collect()
-    if len(rows) > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} questions in one batch")
+    rows = questions.select(question_id, "embedding").toLocalIterator()
+    blocks = [_block_scores(block, questions, store, question_id, key) for block in batched(rows, QUERY_LIMIT)]
+    return reduce(DataFrame.unionAll, blocks or [_block_scores((), questions, store, question_id, key)])
+
+
+def _block_scores(rows: tuple, questions: DataFrame, store: DataFrame, question_id: str, key: str) -> DataFrame:
     ids = [r[0] for r in rows]
-    asked = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    asked = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
     asked_norm = np.linalg.norm(asked, axis=1)
     asked_norm[asked_norm == 0] = 1.0
     types = dict(questions.dtypes)[question_id], dict(store.dtypes)[key]

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answer, chunking, correction, dedup, elements, evaluate, hybrid, images, index, layout, sessions, tables, telemetry
+from tessera.operators import answer, chunking, correction, dedup, dense, elements, evaluate, hybrid, images, index, layout, sessions, tables, telemetry
 from tessera.sources import files, html
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -357,3 +357,14 @@ def test_files(spark, tmp_path):
 
 def test_html_blocks():
     assert html.blocks("<nav><p>no</p></nav><h2>T <b>x</b></h2><script>p='<p>'</script><p>one<p>two</p><ul><li>l</ul>") == [("heading", 2, "T x"), ("paragraph", None, "one"), ("paragraph", None, "two"), ("list", None, "l")]
+
+
+def test_more_questions_than_one_block(spark, monkeypatch):
+    rows = [(i, [float(i % 5), 1.0 + i % 3, -float(i % 2)]) for i in range(11)]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = store.withColumnRenamed("vec_id", "question_id")
+    found = lambda: sorted(tuple(r) for r in dense.dense_top(asked, store, 4, key="vec_id").collect())
+    want = found()
+    monkeypatch.setattr(dense, "QUERY_LIMIT", 3)
+    assert len(want) == 44 and [(*g[:2], round(g[2], 9), g[3]) for g in found()] == [(*w[:2], round(w[2], 9), w[3]) for w in want]
+    assert dense.cosine_scores(asked.limit(0), store, key="vec_id").count() == 0
