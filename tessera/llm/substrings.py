@@ -1,12 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring deduplication by window hashes, looked up where indexed reference blocks are shared.
 
 Every document is both reference and input. Its reference blocks are runs of ``BLOCK`` words chosen by
 content: in each stretch of ``WINDOW`` words the block with the smallest hash. Two equal stretches of that
 length therefore choose the same block, and about one block in twenty words enters the index. A document
 whose chosen block also occurs in an earlier document (smaller doc_id) is a candidate there; only at such
-places are whole windows hashed and looked up. Parsing is greedy: a factor runs on while the window at the
-next word is found in an earlier document, and ends with the last word of its last window, so windows
-are checked up to both boundaries. Factors are at least ``WINDOW`` words long by construction and are the
+places are whole windows hashed and looked up. This replaces a relative Lempel-Ziv parse: what is called a
+factor here is a run of found windows that overlap or touch, possibly of different earlier documents, without
+a reference or an offset. It ends with the last word of its last window. Factors are at least ``WINDOW`` words long by construction and are the
 duplicate spans; what lies between them is kept.
 
 Texts that are equal word by word are one class: all but the smallest doc_id are wholly covered (if they have
@@ -115,7 +115,7 @@ def candidate_windows(marked: DataFrame, window: int, block: int) -> DataFrame:
 
 
 def factors(places: np.ndarray, n_words: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy factors (start, end) from the positions of windows found in earlier documents."""
+    """Runs (start, end) of overlapping or touching windows, from the positions of windows found in earlier documents."""
     out: list[tuple[int, int]] = []
     for p in np.sort(places):
         if p + window > n_words:
