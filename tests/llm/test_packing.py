@@ -1,4 +1,6 @@
+import os
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -7,12 +9,19 @@ from hypothesis import strategies as st
 
 from tessera.llm import packing
 
+SF01 = os.path.join(os.environ.get("TEST_DATA", "/root/testdata"), "sf0.01")
 
-def ids_of(text):
+
+@cache
+def reference():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    t = reference()
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [1], dtype="<u4")
 
 
@@ -21,6 +30,23 @@ def test_ids_match_the_tokenizer_file(text):
     assert list(packing.token_ids(text)) == list(ids_of(text))
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_200_000, "a" * 400_000, "x y " * 300_000 + "\t" * 5000 + " z", "<|endoftext|>" + " " * 200_000 + "q", " \u2003" * 3000])
+def test_ids_of_very_long_runs(text):
+    assert np.array_equal(np.array(packing.token_ids(text)), ids_of(text))
+
+
+def test_ids_of_all_documents(spark):
+    for r in spark.read.parquet(SF01 + "/documents.parquet").select("text").toLocalIterator():
+        assert np.array_equal(np.array(packing.token_ids(r["text"] or "")), ids_of(r["text"]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_of_any_text(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.array_equal(np.array(packing.token_ids(text)), ids_of(text))
+
+
 def test_slices_change_no_id(monkeypatch):
     text = "The quick brown  fox, 12 jumps.\n" * 40
     whole = list(packing.token_ids(text))
