@@ -1,34 +1,36 @@
-"""What the two vector searches share: clean vectors, pivots, cells and the search of query groups in cell blocks.
+"""What the two vector searches share: clean vectors, pivots, cells, and the meeting of blocks and query groups.
 
 Candidates are dealt to the cell of their nearest pivot and, inside a cell, by hash into blocks of bounded
-size, so a vector that occurs very often fills many blocks rather than one. Queries are dealt likewise into
-bounded groups. Every block meets every query group that it can still improve, in one co-grouped task; each
-task returns the best ``k`` of its block for each query, and those are ranked once more.
+size, so a vector that occurs very often fills many blocks rather than one. Every block is indexed once and
+becomes one row. Queries are dealt likewise into bounded groups, each indexed to one row too. Every block meets
+every query group that it can still improve; a task holds one row of each. It returns the best ``k`` of its block
+for each query, and those are ranked once more.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
 #: Candidates in a block and queries in a group, on average.
-BLOCK, QUERY_GROUP = 8192, 1024
+BLOCK, QUERY_GROUP = 8192, 4096
 #: Pivots, and vectors that they are chosen from.
 PIVOTS, PIVOT_SAMPLE = 32, 2048
 
-_DEALT = "vec_id long, v array<double>, cell int, far double"
-
 
 def clean_vectors(vectors: DataFrame, scaled: bool = False, drop_zero: bool = False) -> DataFrame:
     """vec_id, v (array<double>) of the vectors without null or non-finite components.
 
-    ``scaled`` turns every component x into floor(256 * x).
+    ``scaled`` turns every component x into floor(256 * x), which is exact in doubles: multiplying by 256 moves
+    the exponent only, and from 2**52 on every double is whole.
     """
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     sound = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -36,21 +38,20 @@ def clean_vectors(vectors: DataFrame, scaled: bool = False, drop_zero: bool = Fa
     if drop_zero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
     if scaled:
-        # floor() gives a long; as doubles the values stay exact.
-        rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
+        whole = F.lit(float(1 << 52))
+        rows = rows.select("vec_id", F.transform("v", lambda x: F.when(F.abs(x * 256) >= whole, x * 256).otherwise(F.floor(x * 256).cast("double"))).alias("v"))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))  # a repeated vec_id counts once
 
 
 def matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, dtype=np.float64) for x in column], dtype=np.float64).reshape(len(column), -1)
+    if not len(column):
+        return np.zeros((0, 0))
+    return np.array([np.asarray(x, dtype=np.float64) for x in column], dtype=np.float64).reshape(len(column), len(column.iloc[0]))
 
 
 def bounded_sample(vectors: DataFrame, sample: int = PIVOT_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the rows whose hashed vec_id is smallest, of the width that most of them have."""
+    """Ids and vectors of the rows whose hashed vec_id is smallest."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas().sort_values("vec_id")
-    if rows.empty:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    rows = rows[rows["v"].map(len) == rows["v"].map(len).mode().iloc[0]]
     return rows["vec_id"].to_numpy(np.int64), matrix(rows["v"])
 
 
@@ -63,53 +64,86 @@ def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def dealt(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vec_id, v, the cell of the nearest pivot and the distance from it. Vectors of another width than the pivots' take no part."""
+def dealt(vectors: DataFrame, pivots: np.ndarray, bound: Callable | None = None) -> DataFrame:
+    """vec_id, v, the cell of the nearest pivot, the distance from it, and ``bound`` (ids and vectors to a number each)."""
 
     def near(batches):
         squares = (pivots**2).sum(axis=1)
         for batch in batches:
-            batch = batch[batch["v"].map(len) == pivots.shape[1]] if len(batch) else batch
-            if not len(batch):
-                continue
-            x = matrix(batch["v"])
-            gap = squares[None, :] - 2 * x @ pivots.T
-            cell = gap.argmin(axis=1)
-            far = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
-            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "v": batch["v"].to_numpy(), "cell": cell.astype("int32"), "far": far})
+            if len(batch):
+                ids, x = batch["vec_id"].to_numpy(np.int64), matrix(batch["v"])
+                cell = (squares[None, :] - 2 * x @ pivots.T).argmin(axis=1)
+                far = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+                out = pd.DataFrame({"vec_id": ids, "v": batch["v"].to_numpy(), "cell": cell.astype("int32"), "far": far})
+                yield out.assign(bound=bound(ids, x)) if bound else out
+
+    return vectors.mapInPandas(near, "vec_id long, v array<double>, cell int, far double" + (", bound double" if bound else ""))
+
+
+def _indexed(rows: pd.DataFrame, *, keys: list[str], build: Callable) -> pd.DataFrame:
+    rows = rows.sort_values("vec_id")
+    more = (rows["bound"].to_numpy(np.float64),) if "bound" in rows else ()
+    made = build(rows["vec_id"].to_numpy(np.int64), matrix(rows["v"]), *more)
+    return rows[keys].iloc[:1].assign(made=[pickle.dumps(made, protocol=5)])
 
-    return vectors.mapInPandas(near, _DEALT)
 
+def _meet(left: pd.DataFrame, right: pd.DataFrame, *, within: Callable, score: type) -> pd.DataFrame:
+    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, score)})
+    parts = [pd.DataFrame(within(pickle.loads(a), pickle.loads(b)), columns=none.columns) for a in left["made"] for b in right["made"]]
+    return pd.concat(parts) if parts else none
 
-def search(clean: DataFrame, pivots: np.ndarray, every: int, k: int, scratch: Scratch, within: Callable, score_type: str, ascending: bool, worthwhile: Callable | None = None) -> DataFrame:
+
+def search(
+    clean: DataFrame, pivots: np.ndarray, every: int, k: int, scratch: Scratch, name: str,
+    index: Callable, index_queries: Callable, bound: Callable, within: Callable, score_type: str, ascending: bool, worthwhile: Callable | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the best ``k`` of every query, ties to the smaller vec_id.
 
     Queries are the rows of ``clean`` whose vec_id is divisible by ``every``. They are dealt to as many of the
     first pivots as give groups of about QUERY_GROUP, so that candidates are sent no oftener than needed.
-    ``within`` takes the candidates and the queries of one task as pandas frames and returns query_id, vec_id
-    and score. ``worthwhile`` turns (cells, query groups) into the pairs of both that may matter.
+    ``index`` (ids, vectors) and ``index_queries`` (ids, vectors, bounds) make what a block and a query group are
+    sent as, ``within`` takes one of each and returns query ids, vec ids and scores. ``bound`` gives each query a
+    limit that its kth score is sure to reach. ``worthwhile`` turns (cells, query groups) into the pairs of
+    both that may matter.
     """
     spark = clean.sparkSession
-    cells = scratch.keep(dealt(clean, pivots), "cells")
+    cells = scratch.keep(dealt(clean, pivots), f"{name}_cells")
     n = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # one row a pivot
     blocks = spark.createDataFrame([(c, -(-m // BLOCK)) for c, m in n.items()] or [(0, 1)], "cell int, n_blocks long")
     queries = clean.where(F.col("vec_id") % every == 0)
     q_pivots = pivots[: max(1, -(-queries.count() // QUERY_GROUP))]
-    asked = dealt(queries, q_pivots).withColumnRenamed("cell", "q_cell")
+    asked = dealt(queries, q_pivots, bound).withColumnRenamed("cell", "q_cell")
     q_blocks = asked.groupBy("q_cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("n_groups"))
     deal = lambda width: F.pmod(F.xxhash64("vec_id"), F.col(width)).cast("int")
     asked = asked.join(F.broadcast(q_blocks), "q_cell").withColumn("q_group", deal("n_groups"))
-    asked = scratch.keep(asked.select("q_cell", "q_group", F.col("vec_id").alias("query_id"), "v", "far"), "asked")
-    placed = cells.join(F.broadcast(blocks), "cell").withColumn("block", deal("n_blocks")).drop("n_blocks")
+    asked = scratch.keep(asked.select("q_cell", "q_group", "vec_id", "v", "far", "bound"), f"{name}_asked")
+    placed = cells.join(F.broadcast(blocks), "cell").withColumn("block", deal("n_blocks"))
+    made = placed.select("cell", "block", "vec_id", "v").groupBy("cell", "block").applyInPandas(partial(_indexed, keys=["cell", "block"], build=index), "cell int, block int, made binary")
+    made = scratch.keep(made, f"{name}_index")
+    groups = asked.drop("far").groupBy("q_cell", "q_group").applyInPandas(partial(_indexed, keys=["q_cell", "q_group"], build=index_queries), "q_cell int, q_group int, made binary")
+    groups = scratch.keep(groups, f"{name}_queries")
 
     every_cell = F.explode(F.array(*[F.lit(c) for c in sorted(n)] or [F.lit(0)]))
-    pairs = worthwhile(cells, asked) if worthwhile else asked.select("q_cell", "q_group").distinct().withColumn("cell", every_cell)
-    pairs = scratch.keep(pairs.select("cell", "q_cell", "q_group"), "pairs")
-    left = placed.join(pairs, "cell").select("cell", "block", "q_cell", "q_group", "vec_id", "v")
-    spread = pairs.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int")))).drop("n_blocks")
-    right = asked.join(spread, ["q_cell", "q_group"]).select("cell", "block", "q_cell", "q_group", "query_id", "v")
+    pairs = worthwhile(cells, asked) if worthwhile else groups.select("q_cell", "q_group").withColumn("cell", every_cell)
+    pairs = scratch.keep(pairs.select("cell", "q_cell", "q_group").join(made.select("cell", "block"), "cell"), f"{name}_pairs")
     keys = ["cell", "block", "q_cell", "q_group"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(within, f"query_id long, vec_id long, score {score_type}")
+    left = pairs.join(made, ["cell", "block"]).groupBy(*keys)
+    right = pairs.join(groups, ["q_cell", "q_group"]).select(*[F.col(c).alias(c) for c in (*keys, "made")]).groupBy(*keys)
+    meet = partial(_meet, within=within, score=np.int64 if score_type == "long" else np.float64)
+    best = left.cogroup(right).applyInPandas(meet, f"query_id long, vec_id long, score {score_type}")
     order = F.col("score").asc() if ascending else F.col("score").desc()
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def by_width(clean: DataFrame, one: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``one`` over the vectors of each width in turn (vectors of different widths have no score); usually there is one width."""
+    width: Column = F.size("v")
+    widths = sorted(r[0] for r in clean.select(width).distinct().collect())
+    if len(widths) == 1:
+        return one(clean, "w")
+    out = None
+    for w in widths:
+        found = one(clean.where(width == w), f"w{w}")
+        out = found if out is None else out.unionByName(found)
+    return one(clean, "w") if out is None else out

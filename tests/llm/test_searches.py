@@ -1,9 +1,15 @@
+import math
+import os
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
 from tessera.llm import exact_search, near_search
 from tessera.llm import vectors as V
 
+SF1 = os.path.join(os.environ.get("TEST_DATA", "/root/testdata"), "sf0.1")
+
 
 @pytest.fixture(scope="module")
 def make_vectors(spark):
@@ -54,25 +60,69 @@ def test_exact_search_equals_brute_force(make_vectors, monkeypatch):
     assert got == exact(ids, x, 50, 5)
 
 
-def test_nodes_are_pruned_and_nothing_is_lost():
+def test_cover_tree_invariants_and_pruning():
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(c, 0.1, (400, 4)) for c in (-20, 0, 20)])
-    seen = []
+    x = np.floor(256 * np.concatenate([rng.normal(c, 0.1, (400, 4)) for c in (-20, 0, 20)]))
     tree = exact_search.CoverTree(x)
+    gap = lambda a, b: np.sqrt(((x[a] - x[b]) ** 2).sum(axis=-1))
+    assert sum(map(bool, tree.children)) > 3
     for node, kids in enumerate(tree.children):
-        inside = np.sqrt(((x[tree.rows[node]] - tree.centres[node]) ** 2).sum(axis=1))
-        assert inside.max() <= tree.radii[node] and (not kids or sorted(np.concatenate([tree.rows[c] for c in kids])) == sorted(tree.rows[node]))
-    original = np.argsort
-    queries = exact_search.CoverTree(x[:50])
-    exact_search.np.argsort = lambda a, **k: (seen.append(a.size), original(a, **k))[1]
+        inside = gap(tree.rows[node], tree.centres[node])
+        assert inside.max() <= tree.radii[node] and (not kids or inside.max() <= 2.0 ** tree.levels[node])
+        if kids:
+            heads, apart = [tree.centres[c] for c in kids], 2.0 ** (tree.levels[node] - 1)
+            assert heads[0] == tree.centres[node]  # nesting
+            assert all(gap(a, b) > apart for i, a in enumerate(heads) for b in heads[:i])  # separation
+            assert all(gap(tree.rows[c], tree.centres[c]).max() <= apart for c in kids)  # covering
+            assert sorted(np.concatenate([tree.rows[c] for c in kids])) == sorted(tree.rows[node])
+    queries, seen, original = exact_search.CoverTree(x[:50]), [], exact_search.products
+    exact_search.products = lambda a, b: (seen.append(len(a) * len(b)), original(a, b))[1]
     try:
         best, found = exact_search.dual_search(tree, np.arange(len(x)), queries, np.arange(50), 3)
     finally:
-        exact_search.np.argsort = original
+        exact_search.products = original
     assert sum(seen) < 50 * len(x) / 2
     s = x[:50] @ x.T
     s[np.arange(50), np.arange(50)] = -np.inf
-    assert best == pytest.approx(-np.sort(-s, axis=1)[:, :3])
+    assert (best == -np.sort(-s, axis=1)[:, :3]).all()
+
+
+def whole_scores(rows, every, k):
+    scaled = {i: [math.floor(256 * Fraction(float(np.float32(c)))) for c in v] for i, v in rows}
+    out = {}
+    for q in (i for i in scaled if i % every == 0):
+        s = {i: sum(a * b for a, b in zip(scaled[q], v)) for i, v in scaled.items() if i != q and len(v) == len(scaled[q])}
+        out[q] = sorted(((i, x) for i, x in s.items()), key=lambda r: (-r[1], r[0]))[:k]
+    return {q: r for q, r in out.items() if r}
+
+
+@pytest.mark.parametrize("size", [1.0, 3e5, 4e6, 1.1e7])
+def test_large_scores_are_exact(make_vectors, size):
+    rng = np.random.default_rng(int(size))
+    rows = [(i, [float(np.float32(c * size)) for c in rng.uniform(-1, 1, 3)]) for i in range(120)]
+    got = by_query(exact_search.top_inner_products(make_vectors(rows), 20, 5).collect())
+    assert got == whole_scores(rows, 20, 5)
+
+
+def test_scores_that_fit_no_long(make_vectors):
+    huge = [(0, [1e20, 0.0]), (1, [1e20, 1.0]), (2, [1.0, 1.0])]
+    with pytest.raises(Exception, match="fits no long"):
+        exact_search.top_inner_products(make_vectors(huge), 50, 1).collect()
+    # Far below: out of the best it does no harm, among them it raises.
+    low = [(0, [1e20, 0.0]), (1, [-1e20, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])]
+    got = by_query(exact_search.top_inner_products(make_vectors(low), 50, 2).collect())
+    assert got == {0: [(2, 0), (3, 0)]}
+    with pytest.raises(Exception, match="fits no long"):
+        exact_search.top_inner_products(make_vectors(low), 50, 3).collect()
+
+
+def test_each_width_is_searched_by_itself(make_vectors):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 2 + i % 3).tolist()) for i in range(90)]
+    assert by_query(exact_search.top_inner_products(make_vectors(rows), 10, 4).collect()) == whole_scores(rows, 10, 4)
+    got = by_query(near_search.nearest(make_vectors(rows), 10, 3).collect())
+    assert {q: len(r) for q, r in got.items()} == {q: 3 for q in range(0, 90, 10)}
+    assert all(i % 3 == q % 3 for q, r in got.items() for i, _ in r)
 
 
 def test_near_search_recall_and_distances(make_vectors, monkeypatch):
@@ -90,9 +140,9 @@ def test_near_search_recall_and_distances(make_vectors, monkeypatch):
 
 
 def test_recall_on_the_embeddings_table(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    rows = spark.read.parquet(SF1 + "/embeddings.parquet").toPandas().sort_values("vec_id")
     ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist())
-    want, got = near(ids, x, 100, 10), by_query(near_search.op10_near_search(spark, "/root/testdata/sf0.1").collect())
+    want, got = near(ids, x, 100, 10), by_query(near_search.op10_near_search(spark, SF1).collect())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
 
 
