@@ -79,20 +79,23 @@ class CoverTree:
             nearest[closer], gap = len(heads) - 1, np.minimum(gap, new)
 
 
-def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers, as 64-bit integers. No partial sum exceeds the product of the norms."""
+def products(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers, as 64-bit integers; _NONE where ``same``. No partial sum exceeds the product of the norms."""
     norm = lambda x: float(np.sqrt((x**2).sum(axis=1)).max(initial=0.0))
     a, b = norm(queries), norm(candidates)
     if a * b < 2.0**52:
-        return (queries @ candidates.T).astype(np.int64)
-    if max(a, b, a * b) < 2.0**62:
-        return queries.astype(np.int64) @ candidates.astype(np.int64).T
-    whole = lambda x: [[int(c) for c in row] for row in x]
-    others = whole(candidates)
-    exact = [[sum(p * q for p, q in zip(one, other)) for other in others] for one in whole(queries)]
-    if any(s > _MOST for row in exact for s in row):
-        raise OverflowError("an inner product fits no long")
-    return np.array([[max(s, _BELOW) for s in row] for row in exact], dtype=np.int64).reshape(len(queries), len(candidates))
+        out = (queries @ candidates.T).astype(np.int64)
+    elif max(a, b, a * b) < 2.0**62:
+        out = queries.astype(np.int64) @ candidates.astype(np.int64).T
+    else:
+        whole = lambda x: [[int(c) for c in row] for row in x]
+        others = whole(candidates)
+        exact = [[_BELOW if own else max(sum(p * q for p, q in zip(one, other)), _BELOW) for other, own in zip(others, row)] for one, row in zip(whole(queries), same)]
+        if any(s > _MOST for row in exact for s in row):
+            raise OverflowError("an inner product fits no long")
+        out = np.array(exact, dtype=np.int64).reshape(same.shape)
+    out[same] = _NONE
+    return out
 
 
 def dual_search(candidates: CoverTree, ids: np.ndarray, queries: CoverTree, query_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +126,7 @@ def dual_search(candidates: CoverTree, ids: np.ndarray, queries: CoverTree, quer
 
     def compare(q_rows: np.ndarray, c_rows: np.ndarray) -> None:
         c_rows = np.sort(c_rows)
-        score = products(queries.x[q_rows], candidates.x[c_rows])
-        score[query_ids[q_rows][:, None] == ids[c_rows][None, :]] = _NONE
+        score = products(queries.x[q_rows], candidates.x[c_rows], query_ids[q_rows][:, None] == ids[c_rows][None, :])
         better = score.max(axis=1) >= best[q_rows, -1]
         q_rows, score = q_rows[better], score[better]
         if not len(q_rows):
