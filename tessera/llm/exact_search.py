@@ -111,7 +111,9 @@ def dual_search(candidates: CoverTree, ids: np.ndarray, queries: CoverTree, quer
 
     def visit(q: int, c: int, most: float) -> None:
         rows = queries.rows[q]
-        if most < np.maximum(best[rows, -1].astype(np.float64) * (1 - _SLACK * np.sign(best[rows, -1])), floor[rows]).min():
+        kth = best[rows, -1]
+        kth = np.where(kth > _BELOW, kth - _SLACK * np.abs(kth.astype(np.float64)), -np.inf)
+        if most < np.maximum(kth, floor[rows]).min():
             return
         below_q, below_c = queries.children[q], candidates.children[c]
         if not below_q and not below_c:
