@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,21 +37,42 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_root.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    if context.applicationId not in _own_root:
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_root[context.applicationId] = f"file://{folder}"
+    return _own_root[context.applicationId]
 
 
 class Scratch:
-    """Tables written to the shared folder, so that lineage is cut and a lost executor loses nothing."""
+    """Tables written to the shared folder, so that lineage is cut and a lost executor loses nothing.
+
+    What an operator returns reads some of them until it is consumed; the others go at once by keep_only().
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.home = spark, f"{shared_root(spark)}/tessera-{label}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.home}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Remove a table that no later read needs."""
+        self.names.discard(name)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Remove all tables but these."""
+        for name in sorted(self.names - set(names)):
+            self.drop(name)
+
+    def close(self) -> None:
+        """Remove the whole folder, once nothing reads from it any more."""
+        self.keep_only()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.home)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,20 +2,21 @@
 
 Every distinct document (by its word sequence) gets the minima of many universal hash functions over its
 set of word shingles. Minima are grouped in bands; documents that share a band are candidates. In each
-bucket the members are first compared with the bucket's smallest id, and the links found are closed to
-components. Then components that still meet in a bucket are compared, document by document - but for those
-shown to have no link, see able_to_link() - so that no link between two components is lost and no pairs are
-formed inside one. The first comparison estimates the
-similarity from the signature (one byte of each minimum) and then counts on the full sets, so only links
-that hold exactly are used.
+bucket the members are first compared with one of them, and the links found are closed to components. Then
+buckets that still hold several components are compared whole, in chunks - but for documents shown to
+have no link, see able_to_link() - so that no link between two components is lost and no pairs become rows.
+Both comparisons estimate the similarity from the signature (one byte of each minimum) and then count on the
+full sets, so only links that hold exactly are used.
 
 With 40 bands of 6 minima a pair of similarity 0.8 escapes all bands with probability 5e-6, and one of
 similarity 0.2 meets in a band with probability 0.003.
 
-Documents that are exact copies in words are one class, represented by their smallest doc_id. Documents
-without words have an empty set and link with nothing. Null texts count as empty. Rows that repeat a doc_id
-with other text link as their texts do. Extra columns are ignored; an empty table gives no rows. Rows with
-a null doc_id take no part in links and keep a null component.
+Documents that are exact copies in words are one class. Classes are numbered, so rows that repeat a doc_id with
+another text are classes of their own: they link as their texts do, and a component is named by the smallest
+doc_id in any of its classes. Documents without words have an empty set and link with nothing. Null texts
+count as empty. Very long texts are hashed whole; only their sets, bounded by their words, are held. Similarity of
+exactly the threshold is a link, so there are no ties to settle. Extra columns are ignored; an empty table gives no
+rows. Rows with a null doc_id take no part in links and keep a null component.
 """
 
 from __future__ import annotations
@@ -114,9 +115,8 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                 if not len(found):
                     keys.append(0), keys2.append(0), buckets.append(None), signature.append(None)
                     continue
-                at = np.arange(1, len(words) + 1, dtype=_U64)
-                keys.append(int(np.bitwise_xor.reduce(_mix(words + at * _U64(0x9E3779B97F4A7C15))).view(np.int64)))
-                keys2.append(int(_mix(words * _U64(0xC2B2AE3D27D4EB4F) + at).sum(dtype=_U64).view(np.int64)))
+                one, two = class_keys(words)
+                keys.append(one), keys2.append(two)
                 low = minima(found, a, b).astype(_U64).reshape(bands, rows)
                 key = of_band.copy()
                 for r in range(rows):
@@ -129,13 +129,33 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return docs.select("doc_id", whole_text().alias("text")).mapInPandas(sign, schema)
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+def class_keys(words: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a word sequence."""
+    at = np.arange(1, len(words) + 1, dtype=_U64)
+    one = np.bitwise_xor.reduce(_mix(words + at * _U64(0x9E3779B97F4A7C15)))
+    return int(one.view(np.int64)), int(_mix(words * _U64(0xC2B2AE3D27D4EB4F) + at).sum(dtype=_U64).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """cls, shingles (sorted as unsigned numbers) of the classes (cls, doc_id, key_a, key_b), from a row of ``docs`` each."""
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, hashes, ends in _texts(batches):
-            sets = [shingle_set(hashes[lo:hi], shingle).view(np.int64) for lo, hi in zip(ends[:-1], ends[1:])]
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "shingles": sets})
+            texts = [hashes[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+            keys = [class_keys(w) if len(w) else (0, 0) for w in texts]
+            sets = [shingle_set(w, shingle).view(np.int64) for w in texts]
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys], "shingles": sets})
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(find, "doc_id long, shingles array<long>")
+    texts = docs.select("doc_id", whole_text().alias("text")).join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = texts.mapInPandas(find, "doc_id long, key_a long, key_b long, shingles array<long>")
+    # Rows that repeat a doc_id and its text give one set.
+    return found.join(classes.select("cls", "doc_id", "key_a", "key_b"), ["doc_id", "key_a", "key_b"]).groupBy("cls").agg(F.first("shingles").alias("shingles"))
+
+
+def least_agreement(percent: int, minima_count: int) -> float:
+    """Signature agreement under which a pair is not counted on the sets."""
+    t = percent / 100
+    return t - SLACK * (t * (1 - t) / minima_count) ** 0.5
 
 
 @F.pandas_udf(T.DoubleType())
@@ -145,17 +165,15 @@ def _agreement(one: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, shingle: int, percent: int, minima_count: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
-    s = classes.select("doc_id", "n_shingles", "signature")
-    side = lambda c: s.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
-    t = percent / 100
-    least = t - SLACK * (t * (1 - t) / minima_count) ** 0.5
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    s = classes.select("cls", "n_shingles", "signature")
+    side = lambda c: s.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = scratch.keep(sized.where(_agreement("s_a", "s_b") >= least).select("a", "b", "n_a", "n_b"), f"{name}_likely")
-    ids = scratch.keep(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"{name}_ids")
-    # A doc_id that repeats may stand for several texts; its class is represented by one of them.
-    sets = scratch.keep(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), f"{name}_sets")
-    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    likely = scratch.keep(sized.where(_agreement("s_a", "s_b") >= least_agreement(percent, minima_count)).select("a", "b", "n_a", "n_b"), f"{name}_likely")
+    ids = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
+    ids = scratch.keep(classes.select("cls", "doc_id", "key_a", "key_b").join(ids, "cls", "left_semi"), f"{name}_ids")
+    sets = scratch.keep(shingle_sets(docs, ids, shingle), f"{name}_sets")
+    both = likely.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
     links = scratch.keep(links, f"{name}_links")
@@ -192,76 +210,74 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(old)
 
 
-def able_to_link(members: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, reach of the members that can have a link to another member at all; and the sets of all members.
+def able_to_link(members: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """cls, n, reach of the members that can have a link to another member at all; and the sets of all members.
 
     Some of a member's n shingles are in no other member; let u be the number of the rest. The intersection with
     any member b is at most u, so a link needs (100 + percent) u >= percent (n + n_b), that is
     percent * n_b <= reach with reach = (100 + percent) u - percent * n, and the same for b. In a large group of
     distant copies this settles most members, and most pairs of the others.
     """
-    ids = scratch.keep(members.select("doc_id").distinct(), "open_ids")
-    sets = scratch.keep(shingle_sets(docs.join(ids, "doc_id", "left_semi"), shingle), "open_sets")
-    holders = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    own = holders.where("doc_id = last").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    sized = sets.groupBy("doc_id").agg(F.max(F.size("shingles")).alias("n"))
+    ids = scratch.keep(classes.select("cls", "doc_id", "key_a", "key_b").join(members.select("cls").distinct(), "cls", "left_semi"), "open_ids")
+    sets = scratch.keep(shingle_sets(docs, ids, shingle), "open_sets")
+    holders = sets.select("cls", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
+    own = holders.where("cls = last").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+    sized = sets.select("cls", F.size("shingles").cast("long").alias("n"))
     shared = F.col("n") - F.coalesce("own", F.lit(0))
-    able = sized.join(own, "doc_id", "left").where(100 * shared >= percent * F.col("n"))
-    able = scratch.keep(able.select("doc_id", "n", ((100 + percent) * shared - percent * F.col("n")).alias("reach")), "able_ids")
+    able = sized.join(own, "cls", "left").where(100 * shared >= percent * F.col("n"))
+    able = scratch.keep(able.select("cls", "n", ((100 + percent) * shared - percent * F.col("n")).alias("reach")), "able_ids")
     return able, sets
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, *, percent: int) -> pd.DataFrame:
-    """One link at most of each guest (right) with a host document (left), counted on the full sets."""
-    found = []
-    if len(left) and len(right):
-        sets = [np.asarray(x, dtype=np.int64) for x in left["shingles"]]
-        sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
-        starts = np.cumsum(sizes) - sizes
-        ids, reach = left["doc_id"].to_numpy(), left["reach"].to_numpy()
-        for guest, shingles, limit in zip(right["doc_id"], right["shingles"], right["reach"]):
-            ordered = np.sort(np.asarray(shingles, dtype=np.int64))  # they come in the order of unsigned values
-            n = len(ordered)
-            likely = np.flatnonzero((limit >= percent * sizes) & (reach >= percent * n))
-            if not len(likely):
+def _compare(rows: pd.DataFrame, *, percent: int, least: float) -> pd.DataFrame:
+    """Links between the components of two chunks of a bucket (or inside one): enough to join all that are linked.
+
+    A pair is compared in the bucket of the smallest band that both have, and only while its components are not yet joined.
+    """
+    rows = rows.sort_values(["host", "cls"], ascending=[False, True])
+    within = bool(rows["host"].all())
+    n_hosts = int(rows["host"].sum())
+    ids, band = rows["cls"].to_numpy(np.int64), int(rows["band"].iloc[0])
+    root, reach = rows["component"].to_numpy(np.int64).copy(), rows["reach"].to_numpy(np.int64)
+    bands = np.stack(rows["bands"].to_numpy())
+    signatures = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+    sets = [np.sort(np.asarray(x, dtype=np.int64)) for x in rows["shingles"]]  # they come in the order of unsigned values
+    sizes, found = np.array([len(x) for x in sets]), []
+    for guest in range(1 if within else n_hosts, len(rows)):
+        n = min(guest, n_hosts)
+        may = (reach[guest] >= percent * sizes[:n]) & (reach[:n] >= percent * sizes[guest]) & (root[:n] != root[guest])
+        may = np.flatnonzero(may)
+        may = may[np.where(bands[may] == bands[guest], bands[may], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == band]
+        may = may[(signatures[may] == signatures[guest]).mean(axis=1) >= least] if len(may) else may
+        ordered = sets[guest]
+        for host in may:
+            if root[host] == root[guest]:
                 continue
-            at = np.minimum(np.searchsorted(ordered, flat), n - 1)
-            common = np.add.reduceat((ordered[at] == flat).astype(np.int64), starts)[likely]
-            linked = likely[100 * common >= percent * (n + sizes[likely] - common)]
-            if len(linked):
-                found.append((guest, ids[linked[0]]))
+            at = np.minimum(np.searchsorted(ordered, sets[host]), len(ordered) - 1)
+            common = int((ordered[at] == sets[host]).sum())
+            if 100 * common >= percent * (sizes[host] + sizes[guest] - common):
+                found.append((int(ids[host]), int(ids[guest])))
+                root[root == root[guest]] = root[host]
     return pd.DataFrame({"a": [min(x) for x in found], "b": [max(x) for x in found]}, dtype="int64")
 
 
-def links_across(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) between documents of different components that meet in a bucket, enough to join all components that have any.
+def links_across(members: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, minima_count: int) -> DataFrame:
+    """Links (a, b) between classes of different components that meet in a bucket, enough to join all components that have any.
 
-    ``members``: band, doc_id, component, n and reach; ``sets``: doc_id and shingles. Components facing each other in a bucket
-    are paired, the larger one as host. Hosts and their guests are cut into chunks of about CHUNK shingles, and a
-    task compares one chunk of each, so that no pair of documents becomes a row.
+    ``members``: band, cls, component, n and reach; ``sets``: cls and shingles. Buckets with the same members count
+    once, by their smallest band. Members are cut by hash into chunks of about CHUNK shingles, and a task compares
+    one chunk with another or with itself, so that neither documents nor components are paired as rows.
     """
-    bands = members.groupBy("band", "component").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
-    end = lambda c: bands.select("band", F.col("component").alias(f"c{c}"), F.col("n").alias(f"n_{c}"), F.col("reach").alias(f"reach_{c}"))
-    may = (F.col("reach_a") >= percent * F.col("n_b")) & (F.col("reach_b") >= percent * F.col("n_a"))
-    facing = scratch.keep(end("a").join(end("b"), "band").where((F.col("ca") < F.col("cb")) & may).select("ca", "cb").distinct(), "facing")
-    docs = scratch.keep(members.groupBy("doc_id").agg(F.min("component").alias("component"), F.first("n").alias("n"), F.first("reach").alias("reach")), "able_docs")
-    sets = sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-    sizes = docs.groupBy("component").agg(F.sum("n").alias("n"))
-    size = lambda c: sizes.select(F.col("component").alias(c), F.col("n").alias(f"size_{c}"))
-    sized = facing.join(size("ca"), "ca").join(size("cb"), "cb")
-    first = F.col("size_ca") >= F.col("size_cb")
-    pairs = scratch.keep(sized.select(F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("host"), F.when(first, F.col("cb")).otherwise(F.col("ca")).alias("guest"), F.greatest("size_ca", "size_cb").alias("host_size"), F.least("size_ca", "size_cb").alias("guest_size")), "pairs")
-    hosts = pairs.groupBy("host").agg(F.ceil(F.max("host_size") / CHUNK).alias("chunks"), F.ceil(F.sum("guest_size") / CHUNK).alias("guest_chunks"))
-    hosts = scratch.keep(hosts, "hosts")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    dealt = lambda of, chunk, guest_chunk: of.join(sets, "doc_id").select(*[F.col(c).alias(c) for c in ("host", "doc_id", "reach", "shingles")], chunk.alias("chunk"), guest_chunk.alias("guest_chunk"))
-    left = dealt(docs.withColumnRenamed("component", "host").join(hosts, "host"), part("chunks"), up_to("guest_chunks"))
-    guests = docs.withColumnRenamed("component", "guest").join(pairs.select("host", "guest"), "guest").join(hosts, "host")
-    right = dealt(guests, up_to("chunks"), part("guest_chunks"))
-    keys = ["host", "chunk", "guest_chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_compare, percent=percent), "a long, b long")
-    return scratch.keep(found.distinct(), "across_links")
+    mark = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2")]
+    buckets = members.groupBy("band").agg(*mark, F.sum("n").alias("total"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
+    buckets = buckets.groupBy("m", "h1", "h2").agg(F.min("band").alias("band"), F.first("total").alias("total"))
+    buckets = scratch.keep(buckets.select("band", F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks")), "mixed_buckets")
+    own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    met = members.join(buckets, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") <= F.col("other")).alias("host"), "cls", "component", "reach")
+    rows = met.join(classes.select("cls", "bands", "signature"), "cls").join(sets, "cls")
+    compare = partial(_compare, percent=percent, least=least_agreement(percent, minima_count))
+    return scratch.keep(rows.groupBy("band", "one", "two").applyInPandas(compare, "a long, b long").distinct(), "across_links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -269,40 +285,72 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.keep(signatures(docs, shingle, bands, rows), "signed")
     with_words = signed.where("n_shingles > 0 and doc_id is not null")
-    # One class for each word sequence; its attributes ride along with its smallest id.
+    # One class for each word sequence; its attributes ride along with its smallest id. Written, so its numbers hold.
     classes = with_words.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "signature")).alias("m"))
-    classes = scratch.keep(classes.select("key_a", "key_b", "m.*"), "classes")
-    banded = classes.select("doc_id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("band", "a")
+    classes = scratch.keep(classes.select("key_a", "key_b", "m.*").withColumn("cls", F.monotonically_increasing_id()), "classes")
+    minima_count = min(SIGNED, bands * rows)
+    banded = classes.select("cls", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("band", "a")
     buckets = scratch.keep(buckets, "buckets")
     members = scratch.keep(banded.join(buckets, "band"), "members")
-    check = lambda pairs, name: verified(pairs, classes, docs, scratch, name, shingle, percent, min(SIGNED, bands * rows))
-    links = check(members.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "star")
+    links = verified(members.where("a < cls").select("a", F.col("cls").alias("b")).distinct(), classes, docs, scratch, "star", shingle, percent, minima_count)
     found = components(links, scratch, "first")
 
     # Pairs in one bucket but in different components; copies inside a component need no comparison.
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "a", F.coalesce("component", "doc_id").alias("component"))
+    placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("component", "cls").alias("component"))
     placed = scratch.keep(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band")
     mixed = scratch.keep(mixed, "mixed")
     open_members = scratch.keep(placed.join(mixed, "band"), "open")
-    able, sets = able_to_link(open_members, docs, scratch, shingle, percent)
-    more = links_across(scratch.keep(open_members.join(able, "doc_id"), "able"), sets, scratch, percent)
+    able, sets = able_to_link(open_members, classes, docs, scratch, shingle, percent)
+    more = links_across(scratch.keep(open_members.join(able, "cls"), "able"), classes, sets, scratch, percent, minima_count)
     closed = components(links.unionByName(more), scratch, "all")
 
-    placed_classes = classes.select("key_a", "key_b", "doc_id").join(closed.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed_classes = scratch.keep(placed_classes.select("key_a", "key_b", F.coalesce("component", "doc_id").alias("component_id")), "result")
-    inside = with_words.select("doc_id", "n_shingles", "key_a", "key_b").join(placed_classes, ["key_a", "key_b"]).select("doc_id", "n_shingles", "component_id")
+    # A component is named by the smallest doc_id of its classes.
+    linked = closed.withColumnRenamed("node", "cls")
+    of_class = classes.select("key_a", "key_b", "doc_id", "cls").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    of_class = scratch.keep(of_class.select("key_a", "key_b", "doc_id", "component"), "of_class")
+    names = scratch.keep(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "names")
+    named = of_class.join(names, "component", "left").select("key_a", "key_b", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = scratch.keep(named, "result")
+    inside = with_words.select("doc_id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    scratch.keep_only("signed", "result")
     return inside.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents that represent their group. Rows that repeat a doc_id stay if any of them does."""
-    found = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    """The documents that represent their group, each text once.
+
+    Rows that repeat a doc_id with other texts stay if any of them does; rows that repeat doc_id and text leave one.
+    """
+    found = near_duplicates(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = Scratch(docs.sparkSession, "neardup").keep(found.where("not kept or n > 1"), "found")
     gone = found.where("not kept").select(F.col("doc_id").alias("_tessera_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_tessera_gone"), "left_anti").select(*docs.columns)
+    repeated = found.where("kept").select(F.col("doc_id").alias("_tessera_repeated"))
+    stay = docs.join(gone, docs["doc_id"] == F.col("_tessera_gone"), "left_anti")
+    once = stay.join(repeated, F.col("doc_id") == F.col("_tessera_repeated"), "left_anti")
+    several = stay.join(repeated, F.col("doc_id") == F.col("_tessera_repeated"), "left_semi")
+    several = several.withColumn("_tessera_text", F.sha2(whole_text(), 256)).dropDuplicates(["doc_id", "_tessera_text"])
+    return once.select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
+#: Sets of word sequences joined by a space, which no word holds; links are counted on an inverted index, components closed by recursion.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END s FROM words),
+sizes AS (SELECT doc_id, len(s) n FROM sets),
+each AS (SELECT doc_id, hash(unnest(s)) h FROM sets),
+common AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM each x JOIN each y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reached.doc_id, b FROM reached JOIN both_ways ON a = r)
+SELECT doc_id, CAST(n AS BIGINT) n_shingles, min(r) component_id, doc_id = min(r) AS kept FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""

@@ -56,6 +56,25 @@ def test_a_large_group_of_distant_copies(make_docs):
     assert got == {i: c for i, (_, c) in brute(rows, 4).items()}
 
 
+def test_small_chunks_lose_no_link(make_docs, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 900)
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(i, edited(rng, base, rng.choice([0.005, 0.02, 0.04, 0.06]))) for i in range(120)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make_docs(rows), shingle=4).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 4).items()}
+
+
+def test_a_repeated_doc_id_with_other_texts(make_docs):
+    """Rows link as their texts do; a component is named by the smallest doc_id in it."""
+    x, y = ([f"{c}{k}" for k in range(60)] for c in "xy")
+    rows = [(2, " ".join(x)), (2, " ".join(y)), (3, " ".join(y + ["end"])), (4, " ".join(x + ["end"])), (5, " ".join(f"z{k}" for k in range(60))), (3, " ".join(y + ["end"])), (6, "alone"), (2, "alone")]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(make_docs(rows), shingle=4).collect()]
+    assert sorted(got) == sorted([(2, 57, 2), (2, 57, 2), (3, 58, 2), (3, 58, 2), (4, 58, 2), (5, 57, 5), (6, 1, 2), (2, 1, 2)])
+    kept = neardup.deduplicated(make_docs([*rows, (2, "alone")]), shingle=4)
+    assert sorted((r["doc_id"], len(r["text"].split())) for r in kept.collect()) == [(2, 1), (2, 60), (2, 60), (5, 60)]
+
+
 def test_chain_of_links_is_one_component(make_docs, spark):
     from tessera.llm.common import Scratch
 
@@ -72,4 +91,4 @@ def test_odd_documents(odd_docs, make_docs):
     assert neardup.near_duplicates(make_docs([])).collect() == []
     kept = neardup.deduplicated(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 4, 5, 6, 8, 9, 10, 11]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11]
