@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_near_duplicates": neardup.OP1_SQL, "op3_exact_search": exact_search.OP3_SQL, "op4_revisits": warc.OP4_SQL}
+    return {"op1_near_duplicates": neardup.OP1_SQL, "op3_exact_search": exact_search.OP3_SQL, "op4_revisits": warc.OP4_SQL, "op8_duplicate_substrings": substrings.OP8_SQL}

@@ -58,13 +58,46 @@ def test_spans_name_the_removed_words(make_docs):
 def test_every_window_chooses_a_block_inside_it():
     blocks = np.random.default_rng(0).integers(0, 2**63, 400).astype(np.uint64)
     span = 50 - 12 + 1
-    assert (substrings.window_blocks(blocks) == np.lib.stride_tricks.sliding_window_view(blocks, span).min(axis=1)).all()
-    assert len(substrings.window_blocks(blocks[:38])) == 0
-
-
-def test_factors_are_greedy_and_bounded():
-    assert substrings.factors(np.array([0, 1, 2, 60, 200]), 220, 50) == [(0, 52), (60, 110)]
-    assert substrings.factors(np.array([0, 50]), 100, 50) == [(0, 100)]
+    assert (substrings.window_anchors(blocks) == np.lib.stride_tricks.sliding_window_view(blocks, span).min(axis=1)).all()
+    assert len(substrings.window_anchors(blocks[:38])) == 0
+
+
+def test_factors_are_greedy_and_boundaries_are_checked():
+    a, b = [b"a%d" % i for i in range(60)], [b"b%d" % i for i in range(60)]
+    text = [b"x", *a[:40], *b[:30], b"y", *b[5:60], b"z"]
+    factors, places = substrings.factorise(text, [a, b, a[30:40] + b[:50]], 50, 4)
+    assert factors == [(1, 40, 0, 0), (41, 30, 1, 0), (72, 55, 1, 5)]  # of equal lengths the first
+    assert list(places) == list(range(72, 78))
+    factors, places = substrings.factorise(text, [a, b, a[:40] + b[:30]], 50, 4)
+    assert factors == [(1, 70, 2, 0), (72, 55, 1, 5)] and list(places) == [*range(1, 22), *range(72, 78)]
+    # No factor reaches 50 words, the window across two of them is in another block all the same.
+    one, two, three = a[:45], a[30:60] + b[:45], [*a[:44], b"q"]
+    factors, places = substrings.factorise([*a[:45], *a[45:60], *b[:10]], [one, two, three], 50, 4)
+    assert factors == [(0, 45, 0, 0), (45, 25, 1, 15)] and list(places) == []
+    factors, places = substrings.factorise([*a, *b[:10]], [one, [*a[20:60], *b[:30]]], 50, 4)
+    assert factors == [(0, 45, 0, 0), (45, 25, 1, 25)] and list(places) == [20]
+    assert substrings.covered(np.array([0, 1, 2, 60, 200]), 50) == [(0, 52), (60, 110), (200, 250)]
+    assert substrings.covered(np.array([0, 50]), 50) == [(0, 100)]
+
+
+def test_factors_name_their_words(make_docs):
+    rows = corpus(5)
+    words = {i: (t or "").split() for i, t in rows}
+    n = 0
+    for r in substrings.duplicate_spans(make_docs(rows), block=64).collect():
+        for f in filter(None, r["factors"].split(",")):
+            start, length, ref, offset = map(int, f.split(":"))
+            assert ref < r["doc_id"] and length >= 50 and words[r["doc_id"]][start : start + length] == words[ref][offset : offset + length]
+            n += 1
+    assert n > 50
+
+
+def test_a_repeated_doc_id_with_other_texts(make_docs):
+    """Every row is judged by its own words; copies count from the smallest doc_id that holds the text."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b + " x"), (2, b), (3, b)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.duplicate_spans(make_docs(rows)).collect())
+    assert got == [(1, 60, 0), (2, 60, 0), (2, 60, 0), (2, 61, 60), (3, 60, 60), (3, 61, 60)]
 
 
 def test_odd_documents(odd_docs, make_docs):
