@@ -1,17 +1,22 @@
 """Scoring documents by masked pseudo-likelihood.
 
 A token is predicted from the tokens on both sides of it, never from itself. Words in lower case are hashed;
-corpus-wide counts give the most frequent hashes a class of their own and spread the rest over a few shared
+corpus-wide counts give the most frequent hashes a class of their own and spread the rest over shared
 classes. A window network in numpy embeds two tokens on each side, passes them through one hidden layer and
-predicts the token's class in two steps (group, then member given the group). Every partition of the corpus
-trains a copy on all its documents; the copies are averaged, weighted by tokens. Which word of its class a
+predicts the token's class in two steps (group, then member given the group). Which word of its class a
 token is does not depend on its sides: log P(word | class) comes from the counts of all words of the corpus,
 a written table without a limit. A document's score is the sum over its tokens of both logarithms.
 
-Null and empty texts have no tokens and score 0. Rows that repeat a doc_id are scored one by one. Extra columns
-are ignored; an empty table gives no rows. The average and the sums over rare words are taken over integers, so
-they do not depend on the order of the partitions, but the average does depend on how the table is cut into
-partitions. Words are told apart by 64 bits of hash.
+Training goes over all documents once, in ``ROUNDS`` rounds. Documents are dealt by hash of their doc_id to rounds and
+shards; the number of shards follows from the tokens of the corpus. In a round every shard trains a copy of the
+network, and the next round starts from the copies' average, weighted by tokens. Shards are trained in the order
+of doc_id and added up in the order of their numbers, so the scores do not depend on how the table is cut into
+partitions or on the cluster.
+
+Null and empty texts have no tokens and score 0. Very long texts are trained on and scored whole. Rows that repeat
+a doc_id are scored one by one; equal rows get equal scores, so ties are harmless. Extra columns are ignored; an
+empty table gives no rows. The sums over rare words are taken over integers. Words are told apart by 64
+bits of hash.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ from tessera.llm.common import Scratch, documents, whole_text
 
 BUCKETS = 1 << 16
 #: Classes: GROUPS x GROUPS; the last SHARED are shared by the hashes that are not frequent.
-GROUPS, SHARED = 16, 16
+GROUPS, SHARED = 48, 48
 CLASSES = GROUPS * GROUPS
 EMBED, HIDDEN, SIDE = 16, 32, 2
 BATCH, RATE = 1024, 0.7
-#: Averages are taken over integers of so many parts of one.
+#: Rounds of training and averaging; tokens of a shard, until there are SHARDS of them; copies added up in one task.
+ROUNDS, SHARD_TOKENS, SHARDS, FAN_IN = 3, 4_000_000, 4096, 32
+#: Sums over rare words are taken over integers of so many parts of one.
 FIXED = 1 << 20
 #: Words that make up at least one token in so many are sent to the tasks (there are no more than that); the rest are joined.
 COMMON = 4096
@@ -159,10 +166,32 @@ def windows(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return around
 
 
-def _train(batches: Iterator[pd.DataFrame], *, table: np.ndarray) -> Iterator[pd.DataFrame]:
-    network, total = WindowNetwork(), 0
-    for part in _parts(batches):
-        buckets, counts = hashed_words(part["text"].tolist())
+def _train(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A trained copy of the network for every shard; rows come sorted by shard."""
+    shard, network, total = None, None, 0
+
+    def runs() -> Iterator[tuple[int, pd.DataFrame]]:
+        """256 texts of a shard at a time, counted from its first, wherever the batches end."""
+        held: dict[int, pd.DataFrame] = {}
+        for batch in batches:
+            for number, rows in batch.groupby("shard", sort=True):
+                for other in [k for k in held if k != number]:
+                    yield other, held.pop(other)
+                rows = pd.concat([held.pop(number), rows]) if number in held else rows
+                while len(rows) >= 256:
+                    yield number, rows.iloc[:256]
+                    rows = rows.iloc[256:]
+                if len(rows):
+                    held[number] = rows
+        yield from held.items()
+
+    done = lambda: pd.DataFrame({"shard": [shard], "tokens": [total], "weighted": [(network.flat.astype(np.float64) * total).tobytes()]})
+    for number, rows in runs():
+        if number != shard:
+            if total:
+                yield done()
+            shard, network, total = number, WindowNetwork(flat), 0
+        buckets, counts = hashed_words(rows["text"].tolist())
         token = table[buckets].astype(np.int64)
         around = windows(token, counts)
         order = np.random.default_rng(len(token)).permutation(len(token))
@@ -171,7 +200,15 @@ def _train(batches: Iterator[pd.DataFrame], *, table: np.ndarray) -> Iterator[pd
             network.train(around[at], token[at], RATE * len(at) / BATCH)
         total += len(token)
     if total:
-        yield pd.DataFrame({"place": np.arange(network.SIZE), "weighted": np.round(network.flat.astype(np.float64) * FIXED).astype(np.int64) * total, "tokens": total})
+        yield done()
+
+
+def _add(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("shard")
+    total = np.zeros(WindowNetwork.SIZE)
+    for copy in rows["weighted"]:
+        total += np.frombuffer(copy)
+    return pd.DataFrame({"shard": [rows["shard"].iloc[0] // FAN_IN], "tokens": [rows["tokens"].sum()], "weighted": [total.tobytes()]})
 
 
 def _score(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarray, common: dict[str, np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
@@ -205,16 +242,21 @@ def _score(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarr
         yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": counts, "pseudo_log_likelihood": sums[ends] - sums[ends - counts]} | more)
 
 
-def fit(texts: DataFrame, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Class table and network, from all texts. ``total``: bucket_counts() of the same texts."""
-    table = class_table(bucket_counts(word_counts(texts)) if total is None else total)
-    copies = texts.mapInPandas(partial(_train, table=table), "place long, weighted long, tokens long")
-    # Sums of products of a parameter and a token count; decimals keep them exact for any corpus.
-    mean = copies.groupBy("place").agg((F.sum(F.col("weighted").cast("decimal(38,0)")) / F.sum("tokens")).cast("double").alias("mean"))
-    rows = mean.collect()  # one row a parameter
-    flat = WindowNetwork().flat.astype(np.float64)
-    for r in rows:
-        flat[r["place"]] = r["mean"] / FIXED
+def fit(docs: DataFrame, scratch: Scratch, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class table and network, from all texts. ``docs``: doc_id and text; ``total``: bucket_counts() of the texts."""
+    table, flat = class_table(total), WindowNetwork().flat
+    shards = min(max(-(-int(total.sum()) // SHARD_TOKENS), 1), SHARDS)
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)).alias("round"))
+    schema = "shard long, tokens long, weighted binary"
+    for k in range(ROUNDS):
+        mine = dealt.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+        copies = scratch.keep(mine.select("shard", "text").mapInPandas(partial(_train, table=table, flat=flat), schema), f"copies{k}_0")
+        left, level = shards, 0
+        while left > 1 or not level:
+            level, left = level + 1, -(-left // FAN_IN)
+            copies = scratch.keep(copies.groupBy(F.floor(F.col("shard") / FAN_IN)).applyInPandas(_add, schema), f"copies{k}_{level}")
+        for row in copies.collect():  # one row, or none without tokens
+            flat = np.frombuffer(bytes(row["weighted"])) / row["tokens"]
     return table, flat
 
 
@@ -231,7 +273,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", whole_text().alias("text"))
     words = scratch.keep(word_counts(texts.select("text")), "words")
     total = bucket_counts(words)
-    table, flat = fit(texts.select("text"), total)
+    table, flat = fit(texts, scratch, total)
     scorer = partial(_score, table=table, flat=flat, common=common_words(words, total, table))
     # Numbers of rows hold once they are written.
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
@@ -242,6 +284,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     scores = scored.drop("rare", "rare_n").join(rare, "row", "left")
     # A word alone in its class adds 0, up to rounding.
     score = F.least(F.col("pseudo_log_likelihood") + F.coalesce("rare_log", F.lit(0)) / FIXED, F.lit(0.0))
+    scratch.keep_only("scored", "words")
     scores = scores.select("doc_id", "n_tokens", score.alias("pseudo_log_likelihood"))
     return scores.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")).otherwise(F.lit(0.0)))
 

@@ -1,8 +1,12 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from tessera.llm import likelihood as L
+from tessera.llm.common import Scratch
 
 
 def test_windows_stay_inside_texts():
@@ -46,15 +50,49 @@ def test_training_learns_order_and_shuffled_texts_score_lower(make_docs):
     assert np.mean([got[i] for i, _ in rows]) > -1.0  # far above an even guess, -ln 12
 
 
-def test_scores_are_sums_over_tokens(make_docs):
-    docs = make_docs(corpus(40))
-    table, flat = L.fit(docs.select("text"))
-    frame = docs.select("doc_id", "text").toPandas()
-    scores = pd.concat(L._score(iter([frame]), table=table, flat=flat))
-    network = L.WindowNetwork(flat)
-    for doc, n, total in scores.itertuples(index=False):
-        token = table[L.hashed_words([frame.set_index("doc_id")["text"][doc]])[0]].astype(np.int64)
-        assert n == len(token) and total == pytest.approx(network.log_probabilities(L.windows(token, np.array([n])), token).sum(), rel=1e-5)
+def fitted(docs):
+    texts = docs.selectExpr("doc_id", "coalesce(text, '') text")
+    return L.fit(texts, Scratch(docs.sparkSession, "t"), L.bucket_counts(L.word_counts(texts.select("text"))))
+
+
+def brute(rows, table, flat):
+    """Scores token by token, from the parameters and the texts alone."""
+    bucket = lambda w: int(pd.util.hash_array(np.array([w], dtype=object), categorize=False)[0]) >> 48
+    at, shape = {}, 0
+    for name, dims in L.WindowNetwork.SHAPES.items():
+        at[name] = np.asarray(flat[shape : shape + math.prod(dims)], dtype=float).reshape(dims)
+        shape += math.prod(dims)
+    texts = {i: t.encode().lower().split() for i, t in rows}
+    count, size = Counter(w for t in texts.values() for w in t), Counter()
+    for w, n in count.items():
+        size[int(table[bucket(w)])] += n
+    softmax = lambda z: np.exp(z) / np.exp(z).sum()
+    out = {}
+    for i, t in texts.items():
+        cls, total = [int(table[bucket(w)]) for w in t], 0.0
+        for k, c in enumerate(cls):
+            sides = [cls[j] if 0 <= j < len(t) else L.CLASSES for j in (k - 2, k - 1, k + 1, k + 2)]
+            h = np.tanh(np.concatenate([at["embed"][x] for x in sides]) @ at["inner"] + at["inner_bias"])
+            g, m = divmod(c, L.GROUPS)
+            total += math.log(softmax(h @ at["group"] + at["group_bias"])[g]) + math.log(softmax(h @ at["member"] + at["member_bias"][g])[m]) + math.log(count[t[k]] / size[c])
+        out[i] = total
+    return out
+
+
+def test_scores_equal_a_plain_sum_over_tokens(make_docs):
+    rows = corpus(40) + [(500 + i, f"rare{i} word1 Rare{i % 3} word2") for i in range(30)] + [(600, "alone"), (601, "")]
+    docs = make_docs(rows)
+    want = brute(rows, *fitted(docs))
+    got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in L.pseudo_likelihood(docs).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-4, abs=1e-4) for i, x in want.items()}
+
+
+def test_scores_do_not_depend_on_partitions(make_docs, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_TOKENS", 1500)
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    rows = corpus(120)
+    one, other = ({r["doc_id"]: r["pseudo_log_likelihood"] for r in L.pseudo_likelihood(make_docs(rows, parts)).collect()} for parts in (1, 7))
+    assert one == other
 
 
 def test_odd_documents_and_empty_table(odd_docs, make_docs):
@@ -67,8 +105,8 @@ def test_odd_documents_and_empty_table(odd_docs, make_docs):
 
 def test_words_of_one_shared_class_are_told_apart(make_docs):
     """Exact counts: a word's share of its class is in the score, so that a junk word scores below a frequent one in its place."""
-    rows = corpus(300) + [(2000 + i, f"own{i % 400} own{i % 397} filler") for i in range(2400)]
-    table, _ = L.fit(make_docs(rows).select("text"))
+    rows = corpus(300) + [(20000 + i, f"own{i % 2300} own{i % 2299} filler") for i in range(9200)]
+    table, _ = fitted(make_docs(rows))
     bucket = lambda w: L.hashed_words([w])[0][0]
     shared = lambda w: table[bucket(w)] >= L.CLASSES - L.SHARED
     content = next(w for w in (f"content{i}" for i in range(1000)) if shared(w))
