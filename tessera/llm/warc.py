@@ -13,14 +13,17 @@ slices, so that no window runs over all captures of a URL.
 
 Nulls: records without a URL or a time are returned unresolved. An unparsable URL is its own canonical form.
 Rows that repeat a record id are resolved one by one. Extra columns are kept by resolve_revisits(), but
-those named as one that it adds. An empty table gives no rows. WARC files that end early give their whole records only.
+those named as one that it adds. An empty table gives no rows. WARC files that end early give
+their whole records only; a record's body is held whole, a file never.
 """
 
 from __future__ import annotations
 
 import gzip
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +33,8 @@ from tessera.llm.common import Scratch
 
 #: Captures of one URL in a time slice, at most about.
 SLICE = 1000
+#: Bytes read at once, and inflated at once; records and bytes of bodies in a frame.
+CHUNK, INFLATED, ROWS, BYTES = 1 << 16, 1 << 22, 1000, 1 << 25
 #: Header fields that a not-modified answer may update (fixed list).
 UPDATABLE = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning"]
 #: Query parameters that do not identify a page (fixed pattern).
@@ -48,57 +53,145 @@ def canonical_url(url: Column) -> Column:
     return F.when(host == "", bare).otherwise(F.concat(host, F.regexp_replace(path, r"(?:\.html?|/)+$", ""), query))
 
 
-def _inflated(raw: bytes) -> bytes:
-    """All whole members of a gzip file, or the bytes themselves."""
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    out = []
-    while raw[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(raw))
-        except zlib.error:
-            break
-        raw = member.unused_data
-    return b"".join(out)
+def _inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of a gzip file of any number of members, or of a plain file, chunk by chunk; a broken member ends it."""
+    member, first = None, True
+    for raw in chunks:
+        if first:
+            member, first = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None, False
+            plain = member is None
+        if plain:
+            yield raw
+            continue
+        while raw:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            try:
+                # No more than INFLATED comes out of a step, whatever a member holds.
+                yield member.decompress(raw, INFLATED)
+            except zlib.error:
+                return
+            raw = member.unconsumed_tail or member.unused_data
+    if member is not None and not member.eof:
+        yield member.flush()
+
+
+class _Reader:
+    """Reads from chunks of bytes, holding no more than was asked for and the chunk it ended in."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.at = chunks, bytearray(), 0
+
+    def _more(self) -> bool:
+        chunk = next(self.chunks, None)
+        if chunk is None:
+            return False
+        del self.held[: self.at]
+        self.at = 0
+        self.held += chunk
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """All up to ``mark``, which is skipped; None if it does not come."""
+        seen = 0
+        while (end := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark) + 1)
+            if not self._more():
+                return None
+        out = bytes(self.held[self.at : end])
+        self.at = end + len(mark)
+        return out
+
+    def exactly(self, size: int) -> bytes | None:
+        if size <= len(self.held) - self.at:
+            out = bytes(self.held[self.at : self.at + size])
+            self.at += size
+            return out
+        parts, missing = [bytes(self.held[self.at :])], size - (len(self.held) - self.at)
+        self.at = len(self.held)
+        while missing > 0:
+            if not self._more():
+                return None
+            parts.append(bytes(self.held[:missing]))
+            self.at = len(parts[-1])
+            missing -= self.at
+        return b"".join(parts)
 
 
 def _fields(block: bytes) -> dict[str, str]:
-    pairs = (line.split(b":", 1) for line in block.split(b"\r\n")[1:] if b":" in line)
+    pairs = (line.split(b":", 1) for line in block.split(b"\r\n") if b":" in line)
     return {k.strip().lower().decode("latin-1"): v.strip().decode("latin-1") for k, v in pairs}
 
 
-def parse(raw: bytes) -> Iterator[tuple]:
-    """The records of a WARC file's bytes, as rows of RECORD."""
-    data, at = _inflated(raw), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def parse(chunks: Iterable[bytes]) -> Iterator[tuple]:
+    """The records of a WARC file, given as bytes or chunk by chunk, as rows of RECORD."""
+    reader = _Reader(_inflated([chunks] if isinstance(chunks, bytes) else chunks))
+    while reader.until(b"WARC/") is not None and (block := reader.until(b"\r\n\r\n")) is not None:
+        head = _fields(block)
+        length = head.get("content-length", "")
+        body = reader.exactly(int(length) if length.isdigit() else 0)
+        if body is None:
             return
-        head = _fields(data[at:end])
-        size = int(head.get("content-length", "0") or 0)
-        body = data[end + 4 : end + 4 + size]
-        if len(body) < size:
-            return
-        at = end + 4 + size
         status, headers, payload = None, {}, body
         if body[:5] == b"HTTP/":
             http, _, payload = body.partition(b"\r\n\r\n")
-            word = http.split(b"\r\n", 1)[0].split(b" ")
-            status, headers = (int(word[1]) if len(word) > 1 and word[1].isdigit() else None), _fields(http)
-        when = pd.to_datetime(head.get("warc-date"), utc=True, errors="coerce")
-        yield head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), None if pd.isna(when) else when.tz_localize(None), status, headers, payload
+            line, _, rest = http.partition(b"\r\n")
+            word = line.split(b" ")
+            status, headers = (int(word[1]) if len(word) > 1 and word[1].isdigit() else None), _fields(rest)
+        yield head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), _instant(head.get("warc-date")), status, headers, payload
+
+
+def _instant(text: str | None) -> datetime | None:
+    try:
+        when = datetime.fromisoformat(text or "")
+    except ValueError:
+        return None
+    return when.astimezone(UTC).replace(tzinfo=None) if when.tzinfo else when
+
+
+def _rows(records: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Frames of records, each closed at ROWS records or BYTES of bodies."""
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"status": "Int32", "captured_at": "datetime64[us]"})
+    held, size = [], 0
+    for row in records:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= ROWS or size >= BYTES:
+            yield frame(held)
+            held, size = [], 0
+    if held:
+        yield frame(held)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under a path, one file a task; compressed or not."""
+    """Records of all WARC files under a path, one file a task; compressed or not.
+
+    A file that pyarrow's filesystems reach (local folders, HDFS, S3, GCS) is opened in its task and streamed, so that
+    neither it nor its content is ever held whole. Other filesystems are read by Spark, one whole file at a time.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path")  # the path alone: no content is read
+    names = [r["path"] for r in listed.collect()]  # one row a file
+    streamed = all(re.match(r"(?:file|hdfs|s3|s3a|gs):", n) for n in names)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch["path"]:
+                system, inner = fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "file:///", name)))
+                with system.open_input_stream(inner, compression=None) as file:
+                    yield from _rows(parse(iter(lambda: file.read(CHUNK), b"")))
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for raw in batch["content"]:
-                yield pd.DataFrame(list(parse(raw)), columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"status": "Int32"})
+                yield from _rows(parse(memoryview(raw)[at : at + CHUNK].tobytes() for at in range(0, len(raw), CHUNK)))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, RECORD)
+    if streamed and names:
+        files = spark.createDataFrame([(n,) for n in names], "path string").repartition(len(names), "path")
+        return files.mapInPandas(stream, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(whole, RECORD)
 
 
 def record_bytes(record_id: str, record_type: str, url: str, date: str, status: int | None, headers: dict, payload: bytes) -> bytes:

@@ -1,4 +1,6 @@
 import datetime as dt
+import gzip
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,26 @@ def test_slices_of_a_hot_url_agree_with_a_plain_scan(make_records, spark, monkey
             assert got[i] == (max(earlier)[1] if earlier else None)
 
 
+def test_a_file_of_many_members_is_read_in_one_pass():
+    one = [warc.record_bytes(f"<{i}>", "response", "http://a.b/", "2024-01-01T00:00:00Z", 200, {}, b"body %d " % i * 20) for i in range(20_000)]
+    start = time.perf_counter()
+    got = [(r[0], len(r[-1])) for r in warc.parse(b"".join(one)[at : at + warc.CHUNK] for at in [0])]
+    assert len(got) > 100
+    raw = b"".join(one)
+    got = [(r[0], bytes(r[-1])) for r in warc.parse(raw[at : at + warc.CHUNK] for at in range(0, len(raw), warc.CHUNK))]
+    assert time.perf_counter() - start < 10
+    assert got == [(f"<{i}>", b"body %d " % i * 20) for i in range(20_000)]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000, 10**7])
+def test_chunks_may_end_anywhere(step):
+    rows = [("<a>", "response", "http://a.b/", "2024-01-01T02:00:00+02:00", 200, {"etag": "x"}, b"WARC/1.0\r\n\r\n" * 30), ("<b>", "response", "http://a.b/", "not a time", 200, {}, b""), ("<c>", "response", "u", "2024-01-01", 200, {}, bytes(300_000))]
+    for raw in (b"".join(warc.record_bytes(*r) for r in rows), gzip.decompress(b"".join(warc.record_bytes(*r) for r in rows))):
+        got = list(warc.parse(raw[at : at + step] for at in range(0, len(raw), step)))
+        assert [(r[0], bytes(r[-1])) for r in got] == [(r[0], r[-1]) for r in rows]
+        assert [r[3] for r in got] == [T0, None, T0]
+
+
 def test_files_round_trip(spark, tmp_path):
     rows = [(f"<urn:{i}>", "response", f"http://a.b/{i}", f"2024-01-0{i}T00:00:00Z", 200, {"etag": f'"{i}"'}, b"body \r\n\r\n WARC/1.0 " * i) for i in range(1, 5)]
     (tmp_path / "x.warc.gz").write_bytes(b"".join(warc.record_bytes(*r) for r in rows))
