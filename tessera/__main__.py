@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import settings as S
@@ -25,16 +26,21 @@ def ingest(spark: SparkSession, documents: DataFrame, root: str, generation: str
     return home
 
 
-def ask(spark: SparkSession, root: str, questions: DataFrame, settings: S.Settings) -> DataFrame:
-    """Answers to (question_id, question) from the published generation."""
+def ask(spark: SparkSession, root: str, questions: DataFrame, settings: S.Settings, embed: Callable = V.dense_hash, scorer: Column | None = None, **wanted) -> DataFrame:
+    """Answers to (question_id, question) from the published generation.
+
+    ``embed`` (table, key, text column) gives key and embedding, as the index was built with; ``scorer`` reranks by a
+    column over question and content; ``wanted`` filters the payload (doc_id, type, ...) before any ranking.
+    """
     home = index.current(spark, root)
     if home is None:
         raise LookupError("no generation has been published")
-    payload = spark.read.parquet(f"{home}/payload")
-    asked = V.dense_hash(questions, "question_id", "question")
-    scores = dense.cosine_scores(asked, spark.read.parquet(f"{home}/vectors"))
-    words = lexical.scores(questions, payload, key="chunk_id", text="content")
-    kept, outcomes = hybrid.retrieve(questions, payload, scores, words, settings.relevance_threshold, settings.top_k)
+    made = index.load(spark, home)
+    words = lexical.scores_from_index(questions, made.postings, made.lengths)
+    kept, outcomes = hybrid.retrieve(
+        questions, embed(questions, "question_id", "question"), made.payload, made.vectors, words, settings.relevance_threshold, settings.top_k,
+        settings.dense_top, settings.sparse_top, settings.candidate_top, dense.payload_filter(local=False, **wanted) if wanted else None, scorer,
+    )
     return answer.answers(questions, kept, outcomes)
 
 

@@ -59,12 +59,13 @@ def nfkc_key(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words for lexical search."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD_CHARS}+"), F.lit(0))
+    """Lower-case words of the text's NFC, for lexical search."""
+    return F.regexp_extract_all(F.lower(nfc(text)), F.lit(f"{WORD_CHARS}+"), F.lit(0))
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    """NFC without white space."""
+    return F.regexp_replace(nfc(text), r"(?U)\s+", "")
 
 
 def element_type(label: Column) -> Column:

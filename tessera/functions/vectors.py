@@ -24,12 +24,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_index(token: Column, dim: int = 1024) -> Column:
     """SHA-256 of the token modulo a power of two up to 4096: its last three hexadecimal digits decide."""
-    return (F.conv(F.substring(F.sha2(token, 256), 62, 3), 16, 10).cast("int") % dim).alias("idx")
+    digest = F.sha2(token, 256)
+    digit = lambda place: F.instr(F.lit("0123456789abcdef"), F.substring(digest, place, 1)) - 1
+    return ((digit(62) * 256 + digit(63) * 16 + digit(64)) % dim).cast("int").alias("idx")
 
 
 def sparse_hash(docs: DataFrame, key: str, text: str, dim: int = 1024) -> DataFrame:
     """key, idx, weight: counts of the hashed tokens of each text (lower case, cut at white space)."""
-    words = docs.select(key, F.explode(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")).alias("token"))
+    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("token")).where("token != ''")
     return words.select(key, hash_index(F.col("token"), dim)).groupBy(key, "idx").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 

@@ -23,18 +23,19 @@ def payload_filter(local: bool = True, **wanted) -> Column:
     return reduce(lambda c, kv: c & (F.col(kv[0]) == F.lit(kv[1])), chosen.items(), F.lit(True))
 
 
-def cosine_scores(questions: DataFrame, store: DataFrame, question_id: str = "question_id", key: str = "chunk_id") -> DataFrame:
-    """question_id, key, dense for every pair. Questions are the small side and are sent to the store's tasks.
+def cosine_scores(questions: DataFrame, store: DataFrame, question_id: str = "question_id", key: str = "chunk_id", n: int | None = None) -> DataFrame:
+    """question_id, key, dense for every pair, or for the ``n`` best of each batch of the store by cosine to nine digits, then key.
 
-    Questions come in blocks of QUERY_LIMIT. For each the store is scanned once, in Arrow batches; a batch is multiplied
-    with the block as one matrix. The driver holds all questions' vectors, a task those of one block.
+    Questions are the small side and are sent to the store's tasks, in blocks of QUERY_LIMIT. For each the store is
+    scanned once, in Arrow batches; a batch is multiplied with the block as one matrix. The driver holds all
+    questions' vectors, a task those of one block. With ``n`` no more than that many rows a question leave a batch.
     """
     rows = questions.select(question_id, "embedding").toLocalIterator()
-    blocks = [_block_scores(block, questions, store, question_id, key) for block in batched(rows, QUERY_LIMIT)]
-    return reduce(DataFrame.unionAll, blocks or [_block_scores((), questions, store, question_id, key)])
+    blocks = [_block_scores(block, questions, store, question_id, key, n) for block in batched(rows, QUERY_LIMIT)]
+    return reduce(DataFrame.unionAll, blocks or [_block_scores((), questions, store, question_id, key, n)])
 
 
-def _block_scores(rows: tuple, questions: DataFrame, store: DataFrame, question_id: str, key: str) -> DataFrame:
+def _block_scores(rows: tuple, questions: DataFrame, store: DataFrame, question_id: str, key: str, n: int | None) -> DataFrame:
     ids = [r[0] for r in rows]
     asked = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
     asked_norm = np.linalg.norm(asked, axis=1)
@@ -48,14 +49,21 @@ def _block_scores(rows: tuple, questions: DataFrame, store: DataFrame, question_
             x = np.array(batch["embedding"].tolist(), dtype=np.float64)
             norms = np.linalg.norm(x, axis=1)
             norms[norms == 0] = 1.0
-            s = (asked @ x.T) / asked_norm[:, None] / norms[None, :]
-            yield pd.DataFrame({question_id: np.repeat(ids, len(batch)), key: np.tile(batch[key].to_numpy(), len(ids)), "dense": s.ravel()})
+            s, keys = (asked @ x.T) / asked_norm[:, None] / norms[None, :], batch[key].to_numpy()
+            if n is None or n >= len(batch):
+                yield pd.DataFrame({question_id: np.repeat(ids, len(batch)), key: np.tile(keys, len(ids)), "dense": s.ravel()})
+                continue
+            by_key = np.argsort(keys, kind="stable")
+            best = by_key[np.argsort(-np.round(s[:, by_key], 9), axis=1, kind="stable")[:, :n]]
+            yield pd.DataFrame({question_id: np.repeat(ids, n), key: keys[best].ravel(), "dense": np.take_along_axis(s, best, axis=1).ravel()})
 
     return store.select(key, "embedding").mapInPandas(score, f"{question_id} {types[0]}, {key} {types[1]}, dense double")
 
 
 def dense_top(questions: DataFrame, store: DataFrame, n: int, question_id: str = "question_id", key: str = "chunk_id") -> DataFrame:
-    return top(cosine_scores(questions, store, question_id, key), "dense", n, question_id, key)
+    """The ``n`` best of every question by cosine to nine digits, ties to the smaller key: the best of each batch, ranked once more."""
+    scored = cosine_scores(questions, store, question_id, key, n).withColumn("dense", F.round("dense", 9))
+    return top(scored, "dense", n, question_id, key)
 
 
 def one_query_top(store: DataFrame, query: Column, n: int, key: str = "vec_id") -> DataFrame:

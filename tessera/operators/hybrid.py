@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions import vectors as V
+from tessera.operators import dense
 from tessera.operators.lexical import top
 
 RRF_K = 60
@@ -13,20 +15,20 @@ DENSE_TOP, SPARSE_TOP, CANDIDATES, TOP_K = 10, 10, 10, 5
 FALLBACK = "Tôi không tìm thấy thông tin phù hợp trong tài liệu."
 
 
-def fuse(lists: list[DataFrame], question_id: str = "question_id", key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
-    """question_id, key, fused = sum of 1 / (k + rank); ``place`` orders ties by list, then rank.
+def fuse(lists: list[DataFrame], question_id: str = "question_id", key: str = "chunk_id", k: int = RRF_K, carry: tuple[str, ...] = ()) -> DataFrame:
+    """question_id, key, fused = sum of 1 / (k + rank); ``place`` orders ties by list, then rank; and the columns to ``carry`` from their lists.
 
     Lists are joined full outer. (A union of ranked lists would claim their partitioning, which fails in Spark 4.1
     when adaptive execution coalesces one list only.)
     """
     joined = None
     for i, ranked in enumerate(lists):
-        rows = ranked.select(question_id, key, F.col("rank").alias(f"_r{i}"))
+        rows = ranked.select(question_id, key, F.col("rank").alias(f"_r{i}"), *[c for c in carry if c in ranked.columns])
         joined = rows if joined is None else joined.join(rows, [question_id, key], "full")
     ranks = [F.col(f"_r{i}") for i in range(len(lists))]
     fused = sum((F.coalesce(1.0 / (k + r), F.lit(0.0)) for r in ranks), F.lit(0.0))
     place = F.coalesce(*[F.when(r.isNotNull(), F.struct(F.lit(i).alias("list"), r.alias("rank"))) for i, r in enumerate(ranks)])
-    return joined.select(question_id, key, fused.alias("fused"), place.alias("place"))
+    return joined.select(question_id, key, fused.alias("fused"), place.alias("place"), *carry)
 
 
 def resolve_threshold(override: float | None, configured: float | None) -> float | None:
@@ -65,20 +67,33 @@ def gate(questions: DataFrame, candidates: DataFrame, threshold: float | None, t
     outcomes = asked.select("question_id", (reason != "").alias("fallback"), reason.alias("reason"), F.coalesce("best", F.lit(0.0)).alias("best_score"))
     order = [F.col(rerank).desc(), F.col("pool_rank")] if rerank else [F.col("pool_rank")]
     kept = judged.where("passes").withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= top_k)
-    kept = kept.join(outcomes.where("not fallback").select("question_id"), "question_id", "left_semi")
+    # A row that passes is evidence enough that its question did not fall back, unless there was no question.
+    kept = kept.join(questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").select("question_id"), "question_id", "left_semi")
     return kept.drop("sound", "passes"), outcomes
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, dense: DataFrame, lexical: DataFrame, threshold: float | None, top_k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
-    """Hybrid retrieval from all dense and lexical scores: both lists are cut, fused, given a cosine each, and gated.
+def retrieve(
+    questions: DataFrame, asked: DataFrame, chunks: DataFrame, store: DataFrame, lexical_scores: DataFrame, threshold: float | None, top_k: int = TOP_K,
+    dense_top: int = DENSE_TOP, sparse_top: int = SPARSE_TOP, pool: int = CANDIDATES, wanted: Column | None = None, scorer: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Hybrid retrieval: the best by cosine and by BM25 are fused, given a cosine each, and gated.
 
-    ``chunks``: chunk_id, content and payload columns. ``dense``, ``lexical``: question_id, chunk_id, score column.
+    ``asked``: question_id, embedding. ``chunks``: chunk_id, content and payload columns. ``store``: chunk_id,
+    embedding. ``lexical_scores``: question_id, chunk_id, bm25. ``wanted`` is a condition on the payload that holds
+    for both lists before either is cut. ``scorer`` reranks what passes the gate. A candidate without a payload stays
+    until the gate drops it as unsound. Only the candidates of the lexical list have their cosine computed beside the scan.
     """
-    d, s = top(dense, "dense", DENSE_TOP, key="chunk_id"), top(lexical, "bm25", SPARSE_TOP, key="chunk_id")
-    fused = fuse([d, s])
-    cosines = dense.join(fused.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi").select("question_id", "chunk_id", "dense")
-    candidates = fused.join(cosines, ["question_id", "chunk_id"], "left").join(chunks, "chunk_id")
-    return gate(questions, candidates, threshold, top_k)
+    if wanted is not None:
+        allowed = chunks.where(wanted).select("chunk_id")
+        store, lexical_scores = store.join(allowed, "chunk_id", "left_semi"), lexical_scores.join(allowed, "chunk_id", "left_semi")
+    fused = fuse([dense.dense_top(asked, store, dense_top), top(lexical_scores, "bm25", sparse_top, key="chunk_id")], carry=("dense",))
+    vectors = store.select("chunk_id", F.col("embedding").alias("_v"))
+    with_vectors = fused.join(vectors, "chunk_id", "left").join(asked.select("question_id", F.col("embedding").alias("_q")), "question_id", "left")
+    cosine = F.when(F.col("dense").isNull(), F.round(V.cosine(F.col("_v"), F.col("_q")), 9)).otherwise(F.col("dense"))
+    candidates = with_vectors.withColumn("dense", cosine).drop("_v", "_q").join(chunks, "chunk_id", "left")
+    if scorer is None:
+        return gate(questions, candidates, threshold, top_k, pool)
+    return gate(questions, reranked(candidates.join(questions.select("question_id", "question"), "question_id"), scorer).drop("question"), threshold, top_k, pool, "rerank")
 
 
 def reranked(candidates: DataFrame, scorer: Column) -> DataFrame:

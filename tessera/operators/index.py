@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +20,18 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file through Spark's filesystem: written beside its place, then renamed over it."""
+    """A small file through Spark's filesystem: written beside its place, then renamed over it in one step."""
     target, fs = _filesystem(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    jvm = spark._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(beside, target)
+    option = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    overwrite = jvm.java.lang.reflect.Array.newInstance(option, 1)
+    overwrite[0] = jvm.java.lang.Enum.valueOf(option, "OVERWRITE")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(beside, target, overwrite)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -33,16 +40,54 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def build(chunks: DataFrame, root: str, generation: str, dim: int = 64) -> str:
-    """Writes payload, vectors, postings and lengths of a generation; payload files are sorted for pruning by type and document."""
-    home = f"{root.rstrip('/')}/{generation}"
+    """Writes payload, vectors, postings and lengths of a generation; payload files are sorted for pruning by type and document.
+
+    The payload is written first and the rest is made from it, so chunks that cost much are made once. Where they come in
+    fewer partitions than there are cores they are dealt over all of them.
+    """
+    home, cores = f"{root.rstrip('/')}/{generation}", chunks.sparkSession.sparkContext.defaultParallelism
+    spread = chunks if chunks.rdd.getNumPartitions() >= cores else chunks.repartition(cores)
+    spread.sortWithinPartitions("type", "doc_id").write.mode("overwrite").parquet(f"{home}/payload")
+    chunks = chunks.sparkSession.read.parquet(f"{home}/payload")
     embedded = V.dense_hash(chunks, "chunk_id", "content", dim)
-    chunks.sortWithinPartitions("type", "doc_id").write.mode("overwrite").parquet(f"{home}/payload")
     embedded.write.mode("overwrite").parquet(f"{home}/vectors")
     lexical.postings(chunks, "chunk_id", "content").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{home}/postings")
     lexical.document_lengths(chunks, "chunk_id", "content").write.mode("overwrite").parquet(f"{home}/lengths")
     return home
 
 
+@dataclass(frozen=True)
+class Generation:
+    """The tables of a published generation."""
+
+    payload: DataFrame
+    vectors: DataFrame
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def load(spark: SparkSession, home: str) -> Generation:
+    return Generation(*(spark.read.parquet(f"{home}/{name}") for name in ("payload", "vectors", "postings", "lengths")))
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes with the names, sizes and times of the files at a path."""
+    p, fs = _filesystem(spark, path)
+    files, found = fs.listFiles(p, True), [path]
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    return f"g{zlib.crc32(chr(10).join(sorted(found)).encode()):08x}"
+
+
+def published(spark: SparkSession, root: str, generation: str, chunks: DataFrame) -> Generation:
+    """The generation, if it is current; else it is built from the chunks, verified and published first."""
+    home = f"{root.rstrip('/')}/{generation}"
+    if current(spark, root) != home:
+        publish(spark, root, generation, verify(spark, build(chunks, root, generation), chunks.count()))
+    return load(spark, home)
+
+
 def verify(spark: SparkSession, home: str, expected: int, dim: int = 64) -> DataFrame:
     """One row: counts and errors. Counts must agree, and every vector must have the right width and be finite."""
     payload, vectors = spark.read.parquet(f"{home}/payload"), spark.read.parquet(f"{home}/vectors")

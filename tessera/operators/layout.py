@@ -31,11 +31,11 @@ def block_confidence(lines: DataFrame, assigned: DataFrame) -> DataFrame:
 def uncovered_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """Lines that no block holds: neither as a duplicate, nor inside a table or formula, nor within its text."""
     b = blocks.select("page_id", F.col("bbox").alias("_b"), F.col("element_type").alias("_t"), X.compact(F.coalesce("text", F.lit(""))).alias("_c"))
-    mine = X.compact(F.col("text"))
+    mine = F.col("_m")
     same = (mine == F.col("_c")) & (G.containment(F.col("bbox"), F.col("_b")) >= DUPLICATE)
     inside = (G.coverage(F.col("bbox"), F.col("_b")) >= COVERED) & (F.col("_t").isin("table", "formula", "equation") | F.col("_c").contains(mine))
-    shown = lines.where((F.trim("text") != "") & (G.area(F.col("bbox")) > 0)).withColumnRenamed("page_id", "_page")
-    return shown.join(b, (F.col("_page") == F.col("page_id")) & (same | inside), "left_anti").withColumnRenamed("_page", "page_id")
+    shown = lines.where((F.trim("text") != "") & (G.area(F.col("bbox")) > 0)).withColumnRenamed("page_id", "_page").withColumn("_m", X.compact(F.col("text")))
+    return shown.join(b, (F.col("_page") == F.col("page_id")) & (same | inside), "left_anti").withColumnRenamed("_page", "page_id").drop("_m")
 
 
 def column_pairs(blocks: DataFrame) -> DataFrame:
@@ -66,25 +66,24 @@ def page_numbers_retyped(blocks: DataFrame) -> DataFrame:
 
 
 def without_duplicates(blocks: DataFrame) -> DataFrame:
-    """page_id, block_id, duplicate_of: a block repeats an earlier *kept* one with the same text and place. Greedy, so folded by page and text."""
-    rows = blocks.select("page_id", "block_id", X.compact(F.coalesce("text", F.lit(""))).alias("key"), F.col("bbox.x0"), F.col("bbox.y0"), F.col("bbox.x1"), F.col("bbox.y1"))
+    """page_id, block_id, duplicate_of: a block repeats the first earlier *kept* one with the same text and place.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for r in pdf.sort_values("block_id").itertuples(index=False):
-            match = None
-            for k in kept if r.key else []:
-                both = max(0.0, min(k.x1, r.x1) - max(k.x0, r.x0)) * max(0.0, min(k.y1, r.y1) - max(k.y0, r.y0))
-                least = min(max(0.0, k.x1 - k.x0) * max(0.0, k.y1 - k.y0), max(0.0, r.x1 - r.x0) * max(0.0, r.y1 - r.y0))
-                if least and both / least >= DUPLICATE:
-                    match = k.block_id
-                    break
-            if match is None:
-                kept.append(r)
-            out.append((r.page_id, r.block_id, match))
-        return pd.DataFrame(out, columns=["page_id", "block_id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
-
-    return rows.groupBy("page_id", "key").applyInPandas(fold, "page_id long, block_id long, duplicate_of long")
+    Which blocks are kept depends on those before them, so the few blocks of a page and text are folded as one array, in the JVM.
+    """
+    row = "array<struct<block_id:bigint,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"
+    nothing = F.struct(F.expr(f"cast(array() as {row})").alias("kept"), F.expr("cast(array() as array<struct<block_id:bigint,duplicate_of:bigint>>)").alias("out"))
+
+    def step(acc: Column, block: Column) -> Column:
+        first = F.get(F.filter(acc["kept"], lambda k: G.containment(block["bbox"], k["bbox"]) >= DUPLICATE), F.lit(0))["block_id"]
+        kept = F.when(first.isNull(), F.concat(acc["kept"], F.array(block))).otherwise(acc["kept"])
+        return F.struct(kept.alias("kept"), F.concat(acc["out"], F.array(F.struct(block["block_id"].alias("block_id"), first.alias("duplicate_of")))).alias("out"))
+
+    bbox = F.struct(*[F.col("bbox")[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    placed = blocks.select("page_id", F.col("block_id").cast("bigint").alias("block_id"), X.compact(F.coalesce("text", F.lit(""))).alias("key"), bbox.alias("bbox"))
+    grouped = placed.where("key != ''").groupBy("page_id", "key").agg(F.array_sort(F.collect_list(F.struct("block_id", "bbox"))).alias("b"))
+    folded = grouped.select("page_id", F.explode(F.aggregate(F.col("b").cast(row), nothing, step, lambda acc: acc["out"])).alias("r"))
+    blank = placed.where("key = ''").select("page_id", "block_id", F.lit(None).cast("bigint").alias("duplicate_of"))
+    return folded.select("page_id", "r.block_id", "r.duplicate_of").unionByName(blank)
 
 
 def joined_lines(lines: DataFrame, tolerance: float = 0.6) -> DataFrame:

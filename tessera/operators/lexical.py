@@ -38,6 +38,33 @@ def contribution(tf: Column, length: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def scores_from_index(questions: DataFrame, index: DataFrame, lengths: DataFrame, question_id: str = "question_id", question: str = "question", key: str = "chunk_id") -> DataFrame:
+    """question_id, key, bm25 from written postings (term, key, tf) and lengths (key, length); only the asked terms' postings are joined."""
+    terms = questions.select(question_id, F.explode(F.array_distinct(X.tokens(F.col(question)))).alias("term"))
+    hits = index.join(terms.select("term").distinct(), "term", "left_semi")
+    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = terms.join(frequency, "term").join(hits, "term").join(lengths, key).join(F.broadcast(corpus_stats(lengths)))  # one row of statistics
+    part = idf(F.col("n_docs"), F.col("df")) * contribution(F.col("tf"), F.col("length"), F.col("avgdl"))
+    return weighed.groupBy(question_id, key).agg(F.sum(part).alias("bm25"))
+
+
+def containing(questions: DataFrame, index: DataFrame, texts: DataFrame, question_id: str = "question_id", question: str = "question", key: str = "chunk_id", content: str = "content") -> DataFrame:
+    """question_id of the questions whose whole text occurs in some text.
+
+    A word inside the question, with others on both sides, must be a word of such a text; the rarest one's postings
+    name the texts to look at. Questions of fewer than three words have none and are compared with all texts.
+    """
+    words = X.tokens(F.col(question))
+    inner = questions.select(question_id, question, F.explode(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).alias("term"))
+    hits = index.join(inner.select("term").distinct(), "term", "left_semi")
+    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(frequency, "term", "left").groupBy(question_id, question).agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    places = rarest.join(hits, "term").select(question_id, question, key)
+    found = places.join(texts.select(key, content), key).where(F.col(content).contains(F.col(question))).select(question_id)
+    short = questions.where(F.size(words) < 3).select(question_id, question)
+    return found.unionByName(short.join(texts.select(content), F.col(content).contains(F.col(question))).select(question_id)).distinct()
+
+
 def scores(questions: DataFrame, docs: DataFrame, question_id: str = "question_id", question: str = "question", key: str = "doc_id", text: str = "text") -> DataFrame:
     """question_id, key, bm25 of every document with at least one of the question's terms.
 

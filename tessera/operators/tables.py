@@ -20,9 +20,11 @@ class _Cells(HTMLParser):
     def __init__(self):
         super().__init__()
         self.cells, self.taken, self.row, self.column, self.open, self.depth = [], set(), -1, 0, None, 0
+        self.nested = False
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
+            self.nested |= self.depth > 0
             self.depth += 1
         elif tag == "tr" and self.depth <= 1:
             self.row, self.column = self.row + 1, 0
@@ -36,7 +38,7 @@ class _Cells(HTMLParser):
             self.taken |= {(y, x) for y in range(row, row + down) for x in range(self.column, self.column + across)}
             self.open = [row, self.column, down, across, tag == "th", []]
             self.column += across
-        elif tag == "br" and self.open:
+        elif tag == "br" and self.open and self.depth <= 1:
             self.open[5].append("\n")
 
     def handle_data(self, data):
@@ -45,13 +47,15 @@ class _Cells(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "table":
-            self.depth -= 1
-        if tag in ("td", "th", "tr", "table"):
+            self.depth = max(0, self.depth - 1)
+        # What ends inside a nested table ends nothing out here; the end of the outer one ends its last cell.
+        if self.depth == 0 or (self.depth == 1 and tag in ("td", "th", "tr")):
             self._end()
 
     def _end(self):
         if self.open:
-            self.cells.append((*self.open[:5], "".join(self.open[5]).strip()))
+            lines = (" ".join(line.split()) for line in "".join(self.open[5]).splitlines())
+            self.cells.append((*self.open[:5], "\n".join(filter(None, lines))))
         self.open = None
 
 
@@ -69,6 +73,16 @@ def html_cells(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+@F.pandas_udf(T.BooleanType())
+def has_nested_table(html: pd.Series) -> pd.Series:
+    def one(source: str | None) -> bool:
+        parser = _Cells()
+        parser.feed(source or "")
+        return parser.nested
+
+    return html.map(one)
+
+
 def cells_html(cells: Column) -> Column:
     """HTML of an array of cells, ordered by row and column."""
     safe = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

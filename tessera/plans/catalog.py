@@ -63,6 +63,14 @@ def _questions(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+def _index(spark, sf) -> index.Generation:
+    """The published index of the folder's documents (one chunk each); built and published first where it is missing or the files have changed."""
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-documents-{zlib.crc32(sf.encode()):08x}"
+    docs = table(spark, sf, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), F.lit("text").alias("type"), F.concat(F.col("source"), F.lit(".txt")).alias("file_name"), F.lit(None).cast("int").alias("page"))
+    return index.published(spark, root, index.fingerprint(spark, f"{sf}/documents.parquet"), chunks)
+
+
 _BM25 = rf"""
 words AS (SELECT doc_id, {WORDS} FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
@@ -75,13 +83,14 @@ bm25 AS (SELECT question_id, doc_id, round(sum(greatest(0, ln((n - df + 0.5) / (
 
 
 def _bm25(spark, sf) -> DataFrame:
-    # Rounded before ranking, so that copies of a text tie exactly whatever the order of summation.
-    return lexical.scores(_questions(spark, sf), table(spark, sf, "documents")).withColumn("bm25", F.round("bm25", 9))
+    """Rounded before ranking, so that copies of a text tie exactly whatever the order of summation."""
+    made = _index(spark, sf)
+    return lexical.scores_from_index(_questions(spark, sf), made.postings, made.lengths).withColumn("bm25", F.round("bm25", 9))
 
 
 @query(f"WITH {_BM25} SELECT question_id, doc_id, bm25, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, doc_id) AS rank FROM bm25) WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return lexical.top(_bm25(spark, sf), "bm25", 10)
+    return lexical.top(_bm25(spark, sf), "bm25", 10, key="chunk_id").withColumnRenamed("chunk_id", "doc_id")
 
 
 # ---------------------------------------------------------------- vectors
@@ -112,8 +121,7 @@ SELECT question_id, vec_id, dense, rank::INTEGER AS rank FROM (SELECT *, row_num
 def dense_batch_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
     asked = vectors.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("question_id"), "embedding")
-    scored = dense.cosine_scores(asked, vectors, key="vec_id").withColumn("dense", F.round("dense", 9))
-    return lexical.top(scored, "dense", 5, key="vec_id")
+    return dense.dense_top(asked, vectors, 5, key="vec_id")
 
 
 def _hash_sql(dim: int, key: str, source: str) -> str:
@@ -137,12 +145,6 @@ def sparse_dot_topk(spark, sf):
 # ---------------------------------------------------------------- hybrid retrieval
 
 
-def _dense(spark, sf) -> DataFrame:
-    q = V.dense_hash(_questions(spark, sf), "question_id", "question")
-    d = V.dense_hash(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    return dense.cosine_scores(q, d).withColumn("dense", F.round("dense", 9))
-
-
 _HYBRID = f"""WITH {_BM25},
 dh AS ({_hash_sql(64, 'doc_id', 'documents')}), qh AS ({_hash_sql(64, 'item_id', 'benchmark')}),
 dn AS (SELECT doc_id, sqrt(sum(weight * weight)) AS n FROM dh GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(weight * weight)) AS n FROM qh GROUP BY item_id),
@@ -157,16 +159,19 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id OR
 """
 
 
+def _asked(spark, sf) -> DataFrame:
+    return V.dense_hash(_questions(spark, sf), "question_id", "question")
+
+
 def _retrieved(spark, sf) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), F.lit("text").alias("type"), F.concat(F.col("source"), F.lit(".txt")).alias("file_name"), F.lit(None).cast("int").alias("page"))
-    return hybrid.retrieve(_questions(spark, sf), chunks, _dense(spark, sf), _bm25(spark, sf).withColumnRenamed("doc_id", "chunk_id"), THRESHOLD)
+    made = _index(spark, sf)
+    return hybrid.retrieve(_questions(spark, sf), _asked(spark, sf), made.payload, made.vectors, _bm25(spark, sf), THRESHOLD)
 
 
 @query(_HYBRID + "SELECT question_id, doc_id, round(fused, 9) AS fused FROM fused")
 def hybrid_rrf(spark, sf):
-    d, s = _dense(spark, sf), _bm25(spark, sf).withColumnRenamed("doc_id", "chunk_id")
-    fused = hybrid.fuse([lexical.top(d, "dense", 10, key="chunk_id"), lexical.top(s, "bm25", 10, key="chunk_id")])
+    d = dense.dense_top(_asked(spark, sf), _index(spark, sf).vectors, 10)
+    fused = hybrid.fuse([d, lexical.top(_bm25(spark, sf), "bm25", 10, key="chunk_id")])
     return fused.select("question_id", F.col("chunk_id").alias("doc_id"), F.round("fused", 9).alias("fused"))
 
 
@@ -184,7 +189,8 @@ def retrieval_outcomes(spark, sf):
 def _expected(spark, sf) -> DataFrame:
     """A question whose passage occurs in some document expects it; the others must fall back."""
     q = _questions(spark, sf)
-    seen = q.join(table(spark, sf, "documents").select("text"), F.col("text").contains(F.col("question")), "left_semi").select("question_id").withColumn("seen", F.lit(True))
+    made = _index(spark, sf)
+    seen = lexical.containing(q, made.postings, made.payload).withColumn("seen", F.lit(True))
     return q.join(seen, "question_id", "left").select("question_id", F.col("question").alias("expect_contains"), F.lit("text").alias("expect_type"), F.lit(None).cast("long").alias("source_doc"), F.col("seen").isNull().alias("expect_fallback"))
 
 

@@ -85,10 +85,15 @@ def test_citation_and_paths(spark):
     assert one(spark, "hòa “bình” – Úy", X.tone_normalised) == 'hoà "bình" - Uý'
 
 
-def test_cleaning():
-    assert cleaning.cleaned("a ,b;c  d . See http://x.y/a,b or me@x.y.z,ok v1.2") == "a, b; c d. See http://x.y/a,b or me@x.y.z, ok v1.2"
-    assert cleaning.unwrapped("wrap-\nped line\ncontinues\nĐiều 1 starts\nnot joined\n\nnew-\nPara") == "wrapped line continues\nĐiều 1 starts\nnot joined\n\nnew- Para"
-    assert cleaning.unwrapped(" | a |\r\n| b | ", table=True) == "| a |\n| b |"
+def test_cleaning(spark):
+    clean = lambda t: one(spark, t, cleaning.clean_text)
+    flow = lambda t, table=False: one(spark, t, lambda c: cleaning.retrieval_text(c, F.lit(table)))
+    assert clean("a ,b;c  d . See http://x.y/a,b or me@x.y.z,ok v1.2") == "a, b; c d. See http://x.y/a,b or me@x.y.z, ok v1.2"
+    assert clean("  cafe\u0301 \u00a0 ,x\x00y\n z ") == "caf\u00e9, xy\n z" and clean("") == "" and clean(None) is None
+    assert one(spark, " a ,b ", lambda c: cleaning.clean_text(c, False)) == "a ,b"
+    assert flow("wrap-\nped line\ncontinues\nĐiều 1 starts\nnot joined\n\nnew-\nPara") == "wrapped line continues\nĐiều 1 starts\nnot joined\n\nnew- Para"
+    assert flow("a\n\n\n\nb\nc\n1. item\n2) next\nrest\nmore\n") == "a\n\nb c\n1. item\n2) next\nrest more"
+    assert flow(" | a |\r\n| b | ", True) == "| a |\n| b |" and flow("\r\n \r\n") == ""
 
 
 def test_geometry(spark):

@@ -4,7 +4,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answer, chunking, correction, dedup, dense, elements, evaluate, hybrid, images, index, layout, sessions, tables, telemetry
+from tessera.functions import vectors as V
+from tessera.operators import answer, chunking, correction, dedup, dense, elements, evaluate, hybrid, images, index, layout, lexical, sessions, tables, telemetry
 from tessera.sources import files, html
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -45,6 +46,35 @@ def test_thresholds():
         hybrid.resolve_threshold(2, None)
 
 
+def test_retrieval_from_a_published_index(spark, tmp_path):
+    root, n = f"file://{tmp_path}", 60
+    texts = [f"chunk number {i} about topic{i % 5} and word{i % 7}" for i in range(n)]
+    chunks = spark.createDataFrame([(f"c{i:02d}", i % 3, "table" if i % 2 else "text", t, "f.pdf", 1) for i, t in enumerate(texts)], "chunk_id string, doc_id long, type string, content string, file_name string, page int")
+    made = index.published(spark, root, "g1", chunks)
+    assert index.published(spark, root, "g1", chunks.limit(0)).payload.count() == n  # it is current, so nothing is built again
+    q = spark.createDataFrame([(1, "number 7 about topic2"), (2, "nothing of it")], "question_id int, question string")
+    asked = V.dense_hash(q, "question_id", "question")
+    words = lexical.scores_from_index(q, made.postings, made.lengths)
+    plain = {(r["question_id"], r["chunk_id"]): r["bm25"] for r in lexical.scores(q, chunks, key="chunk_id", text="content").collect()}
+    assert {(r["question_id"], r["chunk_id"]): pytest.approx(r["bm25"]) for r in words.collect()} == plain
+    run = lambda **kw: [(r["chunk_id"], r["type"]) for r in hybrid.retrieve(q, asked, made.payload, made.vectors, words, 0.1, **kw)[0].where("question_id = 1").orderBy("rank").collect()]
+    assert run()[0] == ("c07", "table") and len(run(top_k=3)) == 3
+    # The filter holds before either list is cut, so the wanted rows still fill the answer.
+    kept = run(wanted=dense.payload_filter(type="text"), dense_top=5, sparse_top=5)
+    assert len(kept) == 5 and all(t == "text" for _, t in kept)
+    assert run(scorer=F.when(F.col("chunk_id") == "c22", 2.0).otherwise(F.length("question") / 1000), top_k=9)[0][0] == "c22"
+    # An id without payload takes part in fusion and is dropped by the gate.
+    assert ("c07", "table") not in [x for x in run() if x[0] != "c07"] and run() and "c07" not in [x for x, _ in [(r["chunk_id"], 0) for r in hybrid.retrieve(q, asked, made.payload.where("chunk_id <> 'c07'"), made.vectors, words, 0.1)[0].collect()]]
+
+
+def test_questions_contained_in_texts(spark):
+    texts = spark.createDataFrame([("a", "One two, three four five."), ("b", "xone two threex"), ("c", "Hi")], "chunk_id string, content string")
+    q = ["two, three", "ne two, three fou", "one two three", "One two three", "two", "Hi", "zzz", "three four five six", "two three"]
+    asked = spark.createDataFrame(list(enumerate(q)), "question_id int, question string")
+    got = {r[0] for r in lexical.containing(asked, lexical.postings(texts, "chunk_id", "content"), texts).collect()}
+    assert got == {i for i, x in enumerate(q) if any(x in t for t in ("One two, three four five.", "xone two threex", "Hi"))}
+
+
 def test_reranker_must_be_finite(spark):
     rows = spark.createDataFrame([(1.0,), (float("nan"),)], "s double")
     with pytest.raises(Exception, match="finite"):
@@ -193,6 +223,31 @@ def test_correction_chain(spark):
     assert got["văn bản sạch"]["status"] is None and len(got) == 3
 
 
+def test_detection_reasons(spark):
+    rows = [("Ngưười dân , duùng", 0.5, ["x"]), ("sạch sẽ", 0.5, None), ("sạch!!", None, None), ("  ", 0.1, ["x"]), (None, None, None), ("naïive", 0.99, [])]
+    frame = spark.createDataFrame(rows, "text string, c double, f array<string>")
+    got = [r["d"] for r in frame.select(correction.detect(F.col("text"), F.col("c"), F.col("f")).alias("d")).collect()]
+    assert got[0]["reasons"] == ["low_ocr_confidence", "ocr_review_spelling_flag", "known_vietnamese_ocr_pattern", "repeated_base_character", "punctuation_anomaly"]
+    assert got[0]["tokens"] == ["x", "Ngưười", "duùng"] and got[0]["options"]["duùng"] == ["dùng", "dung"] and got[0]["options"]["ngưười"] == ["người", "Người", "Ngưòi"][:1] + got[0]["options"]["ngưười"][1:]
+    assert (got[1]["should_correct"], got[1]["reasons"]) == (False, ["low_ocr_confidence"]) and got[2]["reasons"] == ["punctuation_anomaly"] and got[2]["should_correct"]
+    assert not got[3]["should_correct"] and not got[4]["should_correct"] and got[3]["reasons"] == got[4]["reasons"] == []
+    assert got[5]["options"] == {"naïive": ["naive", "naïve"]}
+
+
+def test_a_second_correction_keeps_the_first_original(spark):
+    schema = "element_type string, text string, parser string, ocr_confidence double, flagged array<string>, excluded boolean"
+    rows = spark.createDataFrame([("paragraph", "mọi ngưười đều biết phuục vụ cho mọi việc", "paddleocr", 0.9, None, False)], schema)
+    half = lambda wrong, right: lambda t: t.str.replace(wrong, right)
+    first = correction.corrected(rows, half("ngưười", "người"), most=3)
+    again = first.drop("status", "reason", "candidate", "edit_ratio")
+    again = spark.createDataFrame(again.collect(), again.schema)  # as from a written table
+    got = correction.corrected(again, half("phuục", "phục")).first()
+    assert got["text"] == "mọi người đều biết phục vụ cho mọi việc" and got["text_original"] == rows.first()["text"]
+    assert [(c["before"], c["after"]) for c in got["changes"]] == [(rows.first()["text"], first.first()["text"]), (first.first()["text"], got["text"])]
+    off = correction.corrected(rows, enabled=False).first()
+    assert (off["status"], off["text"], off["changes"]) == ("disabled", rows.first()["text"], None)
+
+
 def test_edits_stay_local():
     ok = correction.edits_are_local
     assert ok("a ngưười b", "a người b", ["ngưười"], {"ngưười": ["người"]}, False)
@@ -229,6 +284,8 @@ def test_page_layout(spark):
     order = {(r["page_id"], r["block_id"]): r["order"] for r in layout.reading_order(blocks).collect()}
     assert order == {(1, 1): 0, (1, 2): 1, (2, 2): 0, (2, 1): 1, (2, 3): 2}
     assert [r["block_id"] for r in layout.page_numbers_retyped(blocks).where("excluded").collect()] == [3]
+    dup = layout.without_duplicates(spark.createDataFrame([(1, i, "text", "t", box(*b), 600.0, 800.0) for i, b in [(3, (0, 0, 10, 10)), (1, (0, 0, 10, 8)), (2, (0, 1.5, 10, 9.5)), (4, (0, 0, 0, 0))]], schema))
+    assert {r["block_id"]: r["duplicate_of"] for r in dup.collect()} == {1: None, 2: 1, 3: 1, 4: None}
     again = spark.createDataFrame([(1, i, "text", t, box(*b), 600.0, 800.0) for i, t, b in [(1, "a b", (0, 0, 10, 10)), (2, "ab", (0, 0, 10, 9)), (3, "ab", (50, 50, 60, 60)), (4, "", (0, 0, 10, 10))]], schema)
     assert {r["block_id"]: r["duplicate_of"] for r in layout.without_duplicates(again).collect()} == {1: None, 2: 1, 3: None, 4: None}
 
@@ -252,6 +309,14 @@ def test_html_tables(spark):
     assert row.select(tables.cells_html(F.col("cells"))).first()[0] == '<table><tr><th rowspan="2">A</th><th colspan="2">B</th></tr><tr><td>1</td><td>x\ny &amp; z</td></tr></table>'
 
 
+def test_text_after_a_nested_table_stays_in_its_cell(spark):
+    source = "<table><tr><td>a\n  a2<table><tr><td> x </td><td>y</td></tr></table>b</td><td>c</td></tr><tr><td>d</td></tr></table>"
+    rows = spark.createDataFrame([(source,), ("<table><tr><td>z</table>",), (None,)], "h string")
+    got = rows.select(tables.html_cells("h").alias("c"), tables.has_nested_table("h").alias("n")).collect()
+    assert [(c["row_index"], c["column_index"], c["text"]) for c in got[0]["c"]] == [(0, 0, "a\na2 x yb"), (0, 1, "c"), (1, 0, "d")]
+    assert [r["n"] for r in got] == [True, False, False] and [c["text"] for c in got[1]["c"]] == ["z"] and got[2]["c"] == []
+
+
 def test_table_regions_and_order(spark):
     used = spark.createDataFrame([("s", r, c) for r, c in [(1, 1), (1, 2), (2, 1), (2, 5), (6, 1)]], "sheet string, row int, column int")
     merged = spark.createDataFrame([("s", 2, 1, 2, 2), ("s", 9, 9, 9, 9)], "sheet string, row1 int, column1 int, row2 int, column2 int")
