@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,14 +56,15 @@ def canonical_url(url: Column) -> Column:
 
 def _inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
     """The content of a gzip file of any number of members, or of a plain file, chunk by chunk; a broken member ends it."""
-    member, first = None, True
-    for raw in chunks:
-        if first:
-            member, first = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None, False
-            plain = member is None
-        if plain:
-            yield raw
-            continue
+    chunks, start = iter(chunks), b""
+    while len(start) < 2 and (raw := next(chunks, None)) is not None:
+        start += raw
+    if start[:2] != b"\x1f\x8b":
+        yield start
+        yield from chunks
+        return
+    member = zlib.decompressobj(31)
+    for raw in chain([start], chunks):
         while raw:
             if member.eof:
                 member = zlib.decompressobj(31)
@@ -72,7 +74,7 @@ def _inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
             except zlib.error:
                 return
             raw = member.unconsumed_tail or member.unused_data
-    if member is not None and not member.eof:
+    if not member.eof:
         yield member.flush()
 
 
