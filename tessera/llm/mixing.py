@@ -8,7 +8,8 @@ expectation. Documents are dealt by hash into bounded groups of one source; ever
 fractional document, and those residuals are combined by the same rule in a reduction tree.
 
 Random draws hash the two doc_ids and a seed, so reruns agree. Null texts have size 0; a null source is a
-source of its own, ordered last. Documents of size 0 take nothing. Extra columns are ignored. Rows that
+source of its own, ordered last. Documents of size 0 take nothing. Very long texts are counted whole; a long document
+moves in units of its own expectation like any other. Documents of equal size tie by doc_id. Extra columns are ignored. Rows that
 repeat a doc_id are rounded one by one. An empty table gives no rows.
 """
 
@@ -135,5 +136,28 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     return joined.withColumn("_tessera_copy", F.explode(F.sequence(F.lit(1), F.col("_tessera_copies").cast("int")))).select(*docs.columns)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_mix_sources draws to: each document's size, its source's size and target. No draw is in it, so SQL can tell it."""
+    sized = documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size"))
+    t = source_targets(sized).withColumnRenamed("source", "of_source")
+    return sized.join(t, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+#: Sources in the order in which they reach their caps; a source is capped if what is left then exceeds its cap.
+MIXING_TARGETS_SQL = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size FROM documents),
+stats AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, 2.0 * source_size most, [5.0, 2.0, 1.0][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] weight FROM stats),
+ordered AS (
+  SELECT *, 1.5 * sum(source_size) OVER () total,
+         coalesce(sum(most) OVER w, 0) gone, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) weight_left
+  FROM weighed WINDOW w AS (ORDER BY most / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, (total - gone) * weight >= most * weight_left AS capped FROM ordered),
+spare AS (SELECT max(total) - coalesce(sum(most) FILTER (capped), 0) left_over, sum(weight) FILTER (NOT capped) open_weight FROM judged)
+SELECT doc_id, size, source_size, round(CAST(CASE WHEN capped THEN most ELSE left_over * weight / open_weight END AS DOUBLE), 6) target
+FROM sized JOIN judged ON sized.source IS NOT DISTINCT FROM judged.source, spare
+"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("copies")

@@ -16,7 +16,8 @@ case leaves above ``GENERALISE_BITS`` need no further counting.
 
 Null texts count as empty. Very long texts are scanned whole: the patterns are possessive where that changes
 no match, so they need neither deep recursion nor repeated scans. Rows that repeat a doc_id are treated by
-their own text. Extra columns are ignored (sanitised() keeps them); an empty table gives no rows.
+their own text. Spans of different kinds may overlap and all count; terms that disclose several entities take the
+strongest action, so there are no ties. Extra columns are ignored (sanitised() keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations
