@@ -33,12 +33,12 @@ from tessera.llm.common import Scratch, documents, whole_text
 
 BUCKETS = 1 << 16
 #: Classes: GROUPS x GROUPS; the last SHARED are shared by the hashes that are not frequent.
-GROUPS, SHARED = 48, 48
+GROUPS, SHARED = 32, 32
 CLASSES = GROUPS * GROUPS
 EMBED, HIDDEN, SIDE = 16, 32, 2
 BATCH, RATE = 1024, 0.7
 #: Rounds of training and averaging; tokens of a shard, until there are SHARDS of them; copies added up in one task.
-ROUNDS, SHARD_TOKENS, SHARDS, FAN_IN = 3, 4_000_000, 4096, 32
+ROUNDS, SHARD_TOKENS, SHARDS, FAN_IN = 2, 2_000_000, 4096, 32
 #: Sums over rare words are taken over integers of so many parts of one.
 FIXED = 1 << 20
 #: Words that make up at least one token in so many are sent to the tasks (there are no more than that); the rest are joined.
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, scratch: Scratch, total: np.ndarray) -> tuple[np.ndarra
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)).alias("round"))
     schema = "shard long, tokens long, weighted binary"
     for k in range(ROUNDS):
-        mine = dealt.where(F.col("round") == k).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+        mine = dealt.where(F.col("round") == k).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
         copies = scratch.keep(mine.select("shard", "text").mapInPandas(partial(_train, table=table, flat=flat), schema), f"copies{k}_0")
         left, level = shards, 0
         while left > 1 or not level:
