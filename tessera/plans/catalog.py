@@ -22,7 +22,7 @@ from tessera.sources import html
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Questions for dense search: every vector whose id this divides.
-EVERY = 100
+EVERY = 50
 THRESHOLD = 0.5
 
 
