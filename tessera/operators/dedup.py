@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,12 +48,12 @@ def upsert_local(store: DataFrame, incoming: DataFrame, key: str = "chunk_id") -
     """Skip a hash seen before (in the store or earlier in the batch); a known id overwrites in place. Both have ``seq``."""
     marked = store.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True)))
     blank = F.coalesce(F.col("content_hash"), F.lit("")) == ""
-    # Blank hashes never match; giving each its own partition also keeps them from one task.
-    own = marked.withColumn("_h", F.when(blank, F.concat(F.lit("#"), F.col("seq"))).otherwise(F.col("content_hash")))
-    ranked = own.withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(F.col("_new").cast("int"), "seq")))
-    kept = ranked.where(~F.col("_new") | (F.col("_n") == 1)).drop("_h", "_n")
-    newest = Window.partitionBy(key).orderBy(F.col("_new").cast("int").desc(), F.col("seq").desc())
-    return kept.withColumn("_k", F.row_number().over(newest)).where("_k = 1").drop("_k", "_new")
+    # Blank hashes never match. The first of each other hash is pre-aggregated, as in first_wins, and so is the last of each key.
+    firsts = marked.where(~blank).groupBy("content_hash").agg(F.min(F.struct("_new", "seq")).alias("_f")).where("_f._new").select(F.col("_f.seq").alias("seq"))
+    fresh_rows = marked.where(F.col("_new") & ~blank).join(firsts, "seq", "left_semi")
+    kept = marked.where(~F.col("_new") | blank).unionByName(fresh_rows)
+    lasts = kept.groupBy(key).agg(F.max(F.struct("_new", "seq")).alias("_l")).select("_l._new", "_l.seq")
+    return kept.join(lasts, ["_new", "seq"], "left_semi").drop("_new")
 
 
 def upsert_dense(store: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -73,10 +73,12 @@ def _overwrite(store: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def first_by_text(rows: DataFrame, text: str, order: str) -> DataFrame:
     """Distinct trimmed texts, the first of each."""
-    return rows.withColumn("_t", F.trim(F.col(text))).withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(order))).where("_n = 1").drop("_t", "_n")
+    return rows.groupBy(F.trim(F.col(text)).alias("_t")).agg(F.min_by(F.struct("*"), order).alias("_r")).select("_r.*")
 
 
 def collisions(files: DataFrame, path: str = "path") -> DataFrame:
     """Number of files that share a stem, ignoring case."""
     stem = F.lower(F.regexp_replace(F.regexp_extract(F.col(path), r"([^/\\]+)$", 1), r"\.[^.]*$", ""))
-    return files.withColumn("stem", stem).withColumn("n_same_stem", F.count(F.lit(1)).over(Window.partitionBy("stem")))
+    stems = files.withColumn("stem", stem)
+    counts = stems.groupBy(F.col("stem").alias("_s")).agg(F.count(F.lit(1)).alias("n_same_stem"))
+    return stems.join(counts, F.col("stem").eqNullSafe(F.col("_s")), "left").drop("_s")

@@ -234,3 +234,12 @@ def retrieval_elements(rows: DataFrame, captions: DataFrame | None = None) -> Da
         live = live.where(F.col("element_type") != "image")
     live = live.where(F.trim("text") != "")
     return live.join(with_heading_paths(live), ["document_id", "order"]).withColumn("text_for_embedding", X.embedding_text(F.col("heading_path"), F.col("text")))
+
+
+def postprocessing_stats(elements: DataFrame) -> DataFrame:
+    """document_id, changed_elements, excluded_page_numbers, review_issue_count. ``elements``: changes, exclusion_reason, issues (arrays of structs, issues with a status)."""
+    return elements.groupBy("document_id").agg(
+        F.count_if(F.coalesce(F.size("changes"), F.lit(0)) > 0).alias("changed_elements"),
+        F.count_if(F.coalesce(F.col("exclusion_reason") == "page_number", F.lit(False))).alias("excluded_page_numbers"),
+        F.sum(F.size(F.filter(F.coalesce("issues", F.array().cast("array<struct<status:string>>")), lambda i: F.coalesce(i["status"] == "needs_review", F.lit(False))))).alias("review_issue_count"),
+    )

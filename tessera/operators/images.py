@@ -115,3 +115,45 @@ def image_urls(chunks: DataFrame, base: str) -> DataFrame:
     """chunk_id, source_index, image_index, url: flattened images of retrieved chunks."""
     s = chunks.withColumn("source_index", F.col("rank") - 1).select("chunk_id", "source_index", F.posexplode("images").alias("image_index", "image"))
     return s.select("chunk_id", "source_index", "image_index", F.concat(F.lit(base.rstrip("/") + "/"), F.url_encode("chunk_id"), F.lit("/"), F.col("image_index").cast("string")).alias("url"))
+
+
+def shown_once(images: DataFrame, order: list[str]) -> DataFrame:
+    """The first image, by ``order``, of each document, page and picture.
+
+    A document is named by doc_id or else file_name, a picture by image_hash, path or element_id, whichever is not blank
+    first. One aggregate whose partial results meet before the shuffle, so a picture repeated everywhere is no hot key.
+    """
+    given = lambda *cs: F.coalesce(*[F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")) for c in cs])
+    keyed = images.select(given("doc_id", "file_name").alias("_d"), F.col("page").alias("_p"), given("image_hash", "path", "element_id").alias("_i"), F.struct("*").alias("_r"))
+    first = F.min_by("_r", F.struct(*[F.col("_r")[c] for c in order])).alias("_r")
+    return keyed.groupBy("_d", "_p", "_i").agg(first).select("_r.*")
+
+
+_PARTS = "output_text string, output array<struct<content:array<struct<type:string,text:string>>>>, candidates array<struct<finishReason:string,content:struct<parts:array<struct<text:string>>>>>, promptFeedback struct<blockReason:string>"
+#: Fixed values of the two services' answers.
+TEXT_TYPES, CLIPPED = ["output_text", "text"], ["MAX_TOKENS", "MALFORMED_FUNCTION_CALL"]
+
+
+def answer_text(payload: Column, candidates: bool) -> Column:
+    """(text, error) of a vision model's JSON answer: of candidates with parts, or of output items with contents. One of the two is null."""
+    p = F.from_json(payload, _PARTS)
+    texts = lambda found: F.filter(F.transform(F.coalesce(found, F.array().cast("array<struct<text:string>>")), lambda x: x["text"]), lambda t: t.isNotNull())
+    if candidates:
+        first = F.get(p["candidates"], F.lit(0))
+        found = texts(first["content"]["parts"])
+        stop = F.when(first.isNull(), F.concat(F.lit("no candidates: "), F.coalesce(p["promptFeedback"]["blockReason"], F.lit("no reason given"))))
+        stop = F.coalesce(stop, F.when(first["finishReason"].isin(CLIPPED), F.concat(F.lit("clipped: "), first["finishReason"])))
+    else:
+        items = F.flatten(F.filter(F.transform(p["output"], lambda o: o["content"]), lambda c: c.isNotNull()))
+        listed = texts(F.transform(F.filter(items, lambda c: c["type"].isin(TEXT_TYPES)), lambda c: F.struct(c["text"].alias("text"))))
+        found, stop = F.when(p["output_text"].isNotNull(), F.array(p["output_text"])).otherwise(listed), F.lit(None).cast("string")
+    error = F.coalesce(stop, F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, F.lit("no text")))
+    return F.struct(F.when(error.isNull(), F.array_join(found, "")).alias("text"), error.alias("error"))
+
+
+def caption_fields(answer: Column, schema: str, required: list[str]) -> Column:
+    """(caption, error): the answer's JSON under a schema; text that is no such JSON, or lacks a required field, is an error row, not a failure."""
+    got = F.from_json(answer, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    lacking = F.array_compact(F.array(*[F.when(got[c].isNull(), F.lit(c)) for c in required])) if required else F.array().cast("array<string>")
+    error = F.when(got.isNull() | got["_broken"].isNotNull(), F.lit("not valid JSON")).when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", ")))
+    return F.struct(F.when(error.isNull(), got.dropFields("_broken")).alias("caption"), error.alias("error"))

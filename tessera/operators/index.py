@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import lexical
+from tessera.operators import dense, hybrid, lexical
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -105,6 +105,28 @@ def verify(spark: SparkSession, home: str, expected: int, dim: int = 64) -> Data
     return row.withColumn("errors", errors).withColumn("ok", F.size("errors") == 0)
 
 
+def smoke(spark: SparkSession, home: str, question: str, dim: int = 64, n: int = 3) -> DataFrame:
+    """One row: what a question finds in a generation by vectors, by words and by both, at most ``n`` each, and errors where nothing is found."""
+    g = load(spark, home)
+    asked = spark.createDataFrame([(0, question)], "question_id int, question string")
+    near = dense.dense_top(V.dense_hash(asked, "question_id", "question", dim), g.vectors, n)
+    words = hybrid.top(lexical.scores_from_index(asked, g.postings, g.lengths), "bm25", n, key="chunk_id")
+    both = hybrid.fuse([near, words])
+    count = lambda found, name: found.agg(F.least(F.count(F.lit(1)), F.lit(n)).alias(name))
+    row = count(near, "dense_results").join(F.broadcast(count(words, "sparse_results"))).join(F.broadcast(count(both, "hybrid_results")))  # one row each
+    errors = F.array_compact(F.array(*[F.when(F.col(f"{k}_results") == 0, f"{k}_smoke_empty") for k in ("dense", "sparse", "hybrid")]))
+    return row.withColumn("errors", errors).withColumn("ok", F.size("errors") == 0)
+
+
+def manifest(spark: SparkSession, path: str, run_id: str, started_at: str, seen: DataFrame, new: DataFrame, inserted: int, published: bool, **settings) -> dict:
+    """Counts, status and settings of one ingest run, written as JSON; returned as a dict."""
+    n_seen, n_new = seen.count(), new.count()
+    row = {"run_id": run_id, "started_at": started_at, **settings, "chunks_seen": n_seen, "chunks_new": n_new, "chunks_inserted": inserted, "chunks_skipped_dup": n_seen - n_new, "published": published}
+    row["status"] = "published" if published else "indexed" if inserted else "prepared"
+    write_text(spark, path, json.dumps(row, ensure_ascii=False, indent=2))
+    return row
+
+
 def publish(spark: SparkSession, root: str, generation: str, verified: DataFrame) -> None:
     """Makes a verified generation current; an unverified one is refused and nothing changes."""
     row = verified.first()

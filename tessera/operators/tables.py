@@ -168,6 +168,97 @@ def in_page_units(boxes: DataFrame) -> DataFrame:
     return boxes.join(scores, "table_id").withColumn("bbox", F.when(F.col("_to") > F.col("_as"), moved).otherwise(b)).drop("_as", "_to")
 
 
+#: The names of where a table's text came from.
+FROM_TABLE, FROM_PAGE, FROM_HTML, UNMATCHED = "table_ocr_pred", "overall_ocr_res", "pred_html", "_unmatched"
+
+
+def text_sources(tables: DataFrame, boxes: DataFrame, lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """table_id, cell_text_source, html_allowed: whose lines fill a table's cells, and whether its HTML may fill the rest.
+
+    Lines of the table and of the page are compared by how many lie in a cell, then by their mean confidence; the page wins
+    a tie. Tables without boxes, or without a line in a cell, take what lines there are. ``boxes``: table_id, cell, bbox.
+    ``lines``: table_id, of_page (boolean), bbox, text, confidence. A line beside each box of its own table only is compared.
+    """
+    places = boxes.groupBy("table_id").agg(F.collect_list("bbox").alias("places"))
+    inside = F.exists(F.coalesce("places", F.array().cast(dict(places.dtypes)["places"])), lambda p: G.coverage(F.col("bbox"), p) >= least)
+    seen = lines.join(places, "table_id", "left").withColumn("_in", inside)
+    score = lambda page: F.struct(F.count_if(F.col("_in") & (F.col("of_page") == page)).alias("n"), F.coalesce(F.avg(F.when(F.col("_in") & (F.col("of_page") == page), F.col("confidence"))), F.lit(0.0)).alias("c"))
+    counts = seen.groupBy("table_id").agg(score(False).alias("t"), score(True).alias("p"), F.bool_or(~F.col("of_page")).alias("any_t"), F.bool_or("of_page").alias("any_p"))
+    joined = tables.select("table_id").join(counts, "table_id", "left").join(places.select("table_id", F.lit(True).alias("boxed")), "table_id", "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    wins = has("boxed") & (F.coalesce("p.n", F.lit(0)) > 0) & (F.col("p") >= F.col("t"))
+    fits = has("boxed") & (F.coalesce("t.n", F.lit(0)) > 0)
+    loose = lambda name: F.when(has("boxed"), name + UNMATCHED).otherwise(name)
+    source = (
+        F.when(wins, FROM_PAGE).when(fits, FROM_TABLE).when(has("any_t") & (~has("boxed") | ~has("any_p")), loose(FROM_TABLE))
+        .when(has("any_p"), loose(FROM_PAGE)).otherwise(FROM_HTML)
+    )
+    allowed = F.when(wins, F.col("p") == F.col("t")).otherwise(source != FROM_PAGE + UNMATCHED)
+    return joined.select("table_id", source.alias("cell_text_source"), allowed.alias("html_allowed"))
+
+
+def box_cells(boxes: DataFrame) -> DataFrame:
+    """Cells of tables known by their boxes alone: a box joins the first row whose first box's middle is near, columns run from left to right."""
+    b = F.col("bbox")
+    item = F.struct(((b["y0"] + b["y1"]) / 2).cast("double").alias("y"), b["x0"].cast("double").alias("x"), F.col("cell").cast("int").alias("cell"), F.greatest(F.lit(1.0), b["y1"] - b["y0"]).cast("double").alias("h"))
+    sorted_boxes = boxes.groupBy("table_id").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    none = F.expr("named_struct('heads', cast(array() as array<struct<y:double,h:double>>), 'out', cast(array() as array<struct<row:int,x:double,cell:int>>))")
+
+    def step(acc: Column, k: Column) -> Column:
+        near = F.transform(acc["heads"], lambda r: F.abs(k["y"] - r["y"]) <= F.least(k["h"], r["h"]) / 2)
+        at = F.array_position(near, F.lit(True)).cast("int")
+        row = F.when(at > 0, at - 1).otherwise(F.size(acc["heads"]))
+        heads = F.when(at > 0, acc["heads"]).otherwise(F.concat(acc["heads"], F.array(F.struct(k["y"].alias("y"), k["h"].alias("h")))))
+        return F.struct(heads.alias("heads"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), k["x"].alias("x"), k["cell"].alias("cell")))).alias("out"))
+
+    rows = sorted_boxes.select("table_id", F.explode(F.aggregate("b", none, step, lambda acc: acc["out"])).alias("r"))
+    column = F.row_number().over(Window.partitionBy("table_id", "r.row").orderBy("r.x", "r.cell")) - 1
+    return rows.select("table_id", F.col("r.cell").alias("cell"), F.col("r.row").alias("row_index"), column.alias("column_index"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.lit(False).alias("is_header"), F.lit("").alias("text"))
+
+
+def assembled(tables: DataFrame, boxes: DataFrame, lines: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(cells, tables): cells with their text and confidence, and per table its size, Markdown, HTML, confidence and source.
+
+    ``tables``: table_id, html, confidence (of the block); ``boxes`` and ``lines`` as in ``text_sources``; box k belongs
+    to cell k of the HTML. A cell's text is that of the lines in its box, else its HTML text where that is allowed. A
+    cell without a confidence takes that of a line with equal text: the nth such cell that of the nth such line. Tables
+    with spans or inner tables keep their HTML and have no Markdown; the others are renumbered by place if all cells
+    have boxes. Write the three inputs first if they cost much: each is read several times.
+    """
+    sources = text_sources(tables, boxes, lines, least)
+    named = tables.select("table_id", F.posexplode(html_cells("html")).alias("cell", "c")).select("table_id", "cell", "c.*")
+    bare = boxes.join(named.select("table_id").distinct(), "table_id", "left_anti")
+    cells = named.unionByName(box_cells(bare)).join(boxes.select("table_id", "cell", "bbox"), ["table_id", "cell"], "left").join(sources, "table_id")
+    wanted = F.when(F.col("cell_text_source").startswith(FROM_PAGE), True).when(F.col("cell_text_source").startswith(FROM_TABLE), False)
+    chosen = lines.join(sources.select("table_id", wanted.alias("_w")), "table_id").where("of_page = _w").withColumn("text", F.trim("text"))
+    # Cells keep their number through the join, so that two cells at one place keep their own text.
+    filled = cell_lines(cells.where("bbox is not null").select("table_id", F.col("cell").alias("row_index"), F.lit(0).alias("column_index"), "bbox"), chosen, least)
+    filled = filled.select("table_id", F.col("row_index").alias("cell"), F.col("text").alias("_read"), F.col("confidence").alias("_sure"))
+    cells = cells.join(filled, ["table_id", "cell"], "left")
+    key = lambda c: F.lower(F.regexp_replace(F.trim(F.col(c)), r"(?U)\s+", " "))
+    nth = lambda order: F.row_number().over(Window.partitionBy("table_id", "_k").orderBy(*order))
+    open_cells = cells.where("_sure is null and text != ''").select("table_id", "cell", key("text").alias("_k")).withColumn("_n", nth(["cell"]))
+    said = chosen.select("table_id", key("text").alias("_k"), "bbox", "confidence").withColumn("_n", nth([F.col("bbox")["y0"], F.col("bbox")["x0"]]))
+    equal = open_cells.join(said, ["table_id", "_k", "_n"]).select("table_id", "cell", F.col("confidence").alias("_equal"))
+    text = F.coalesce(F.when(F.col("_read") != "", F.col("_read")), F.when(F.col("html_allowed"), F.col("text")), F.lit(""))
+    cells = cells.join(equal, ["table_id", "cell"], "left").withColumns({"text": text, "confidence": F.coalesce("_sure", "_equal")}).drop("_read", "_sure", "_equal")
+    each = cells.groupBy("table_id").agg(F.bool_or((F.col("rowspan") > 1) | (F.col("colspan") > 1)).alias("has_merged_cells"), F.bool_and(F.col("bbox").isNotNull()).alias("_boxed"))
+    inner = tables.select("table_id", has_nested_table("html").alias("has_nested_table"))
+    shape = each.join(inner, "table_id").withColumn("_simple", ~F.col("has_merged_cells") & ~F.col("has_nested_table"))
+    cells = cells.join(shape.select("table_id", "_simple", "_boxed"), "table_id")
+    cells = reindexed(cells.where("_simple and _boxed")).unionByName(cells.where("not (_simple and _boxed)")).drop("_boxed")
+    simple = cells.where("_simple")
+    row = F.array_sort(F.collect_list(F.struct("row_index", "column_index", "rowspan", "colspan", "is_header", "text")))
+    made = cells.groupBy("table_id").agg(row.alias("_c"), F.avg("confidence").alias("_mean"), F.max(F.col("row_index") + F.col("rowspan")).alias("rows"), F.max(F.col("column_index") + F.col("colspan")).alias("columns"))
+    made = made.join(grid_lines(simple), "table_id", "left").join(shape.drop("_boxed"), "table_id")
+    out = tables.join(made, "table_id", "left").join(sources, "table_id").select(
+        "table_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("columns", F.lit(0)).alias("columns"), F.coalesce("markdown", F.lit("")).alias("markdown"),
+        F.when(F.col("_simple") | (F.coalesce("html", F.lit("")) == ""), F.coalesce(cells_html(F.col("_c")), "html")).otherwise(F.col("html")).alias("html"),
+        F.coalesce("_mean", "confidence").alias("confidence"), F.coalesce("has_merged_cells", F.lit(False)).alias("has_merged_cells"), F.coalesce("has_nested_table", F.lit(False)).alias("has_nested_table"), "cell_text_source", "html_allowed",
+    )
+    return cells.drop("_simple", "html_allowed", "cell_text_source"), out
+
+
 def matched_tables(blocks: DataFrame, results: DataFrame) -> DataFrame:
     """page_id, block_id, result_id, how: by id, then one to one by largest IoU, then by position."""
 

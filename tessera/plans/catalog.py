@@ -17,7 +17,7 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import chunking, correction, dedup, dense, elements, evaluate, hybrid, images, index, layout, lexical, sessions, tables, telemetry
 from tessera.session import table
-from tessera.sources import html
+from tessera.sources import files, html
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -359,6 +359,54 @@ def edit_ratio(spark, sf):
     return table(spark, sf, "part").select("p_partkey", correction.edit_ratio(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type")).alias("edit_ratio"))
 
 
+@query("""SELECT CASE l_returnflag WHEN 'N' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS owner, l_partkey % 10 AS page, l_linenumber % 4 AS picture, min(l_orderkey) AS first_order, arg_min(l_linenumber, (l_orderkey, l_linenumber)) AS first_line
+FROM lineitem GROUP BY ALL""")
+def images_shown_once(spark, sf):
+    """A line is an image shown: of a supplier's document, or where its flag is not N of a part's file; known by hash, path or id."""
+    flag, picture = F.col("l_returnflag"), F.col("l_linenumber") % 4
+    rows = table(spark, sf, "lineitem").select(
+        F.when(flag == "N", F.concat(F.lit("s"), "l_suppkey")).otherwise("").alias("doc_id"), F.concat(F.lit("p"), "l_partkey").alias("file_name"), (F.col("l_partkey") % 10).alias("page"),
+        F.when(picture == 0, "0").alias("image_hash"), F.when(picture == 1, "1").otherwise(" ").alias("path"), picture.cast("string").alias("element_id"), F.col("l_orderkey").alias("first_order"), F.col("l_linenumber").alias("first_line"),
+    )
+    owner = F.when(F.col("doc_id") != "", F.col("doc_id")).otherwise(F.col("file_name")).alias("owner")
+    return images.shown_once(rows, ["first_order", "first_line"]).select(owner, "page", F.col("element_id").cast("int").alias("picture"), "first_order", "first_line")
+
+
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || role WHEN 2 THEN text || role END AS text,
+CASE turn % 5 WHEN 3 THEN 'clipped: MAX_TOKENS' WHEN 4 THEN 'no candidates: SAFETY' END AS error FROM conversations""")
+def caption_answers(spark, sf):
+    """Turns as the answers of two vision services: a plain text, a list of contents, parts, a clipped answer and a blocked one."""
+    part = lambda c: F.struct(F.lit("text").alias("type"), F.col(c).alias("text"))
+    plain = F.struct(F.col("text").alias("output_text"))
+    listed = F.struct(F.array(F.struct(F.array(part("text"), F.struct(F.lit("refusal").alias("type"), F.lit("x").alias("text")), part("role")).alias("content"))).alias("output"))
+    parts = lambda reason: F.struct(F.array(F.struct(F.lit(reason).alias("finishReason"), F.struct(F.array(part("text"), part("role")).alias("parts")).alias("content"))).alias("candidates"))
+    blocked = F.struct(F.struct(F.lit("SAFETY").alias("blockReason")).alias("promptFeedback"))
+    kind = F.col("turn") % 5
+    json = F.when(kind == 0, F.to_json(plain)).when(kind == 1, F.to_json(listed)).when(kind == 2, F.to_json(parts("STOP"))).when(kind == 3, F.to_json(parts("MAX_TOKENS"))).otherwise(F.to_json(blocked))
+    told = table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"), json.alias("json"))
+    answer = F.when(F.col("kind") >= 2, images.answer_text(F.col("json"), True)).otherwise(images.answer_text(F.col("json"), False))
+    return told.select("conv_id", "turn", answer.alias("a")).select("conv_id", "turn", "a.text", "a.error")
+
+
+@query("""SELECT o_custkey AS document_id, count(*) FILTER (o_orderkey % 3 = 0) AS changed_elements, count(*) FILTER (o_orderkey % 5 = 0) AS excluded_page_numbers, sum(o_orderkey % 4)::BIGINT AS review_issue_count
+FROM orders GROUP BY o_custkey""")
+def postprocessing_stats(spark, sf):
+    """An order is an element of its customer's document: every third changed, every fifth a page number, with up to three issues open and one settled."""
+    key = F.col("o_orderkey")
+    issue = lambda s: F.struct(F.lit(s).alias("status"))
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("document_id"), F.when(key % 3 == 0, F.array(F.col("o_orderpriority"))).alias("changes"), F.when(key % 5 == 0, "page_number").when(key % 5 == 1, "noise").alias("exclusion_reason"),
+        F.concat(F.array_repeat(issue("needs_review"), (key % 4).cast("int")), F.array(issue("corrected_by_crop_ocr"))).alias("issues"),
+    )
+    return elements.postprocessing_stats(rows)
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ordered_at, strftime(o_orderdate, '%Y-%m-%d') AS ordered_on, o_totalprice > 1000 AS large, (o_orderkey * 1.50)::DECIMAL(20, 2)::VARCHAR AS amount FROM orders")
+def json_safe_values(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.col("o_orderdate").alias("ordered_at"), F.to_date("o_orderdate").alias("ordered_on"), (F.col("o_totalprice") > 1000).alias("large"), (F.col("o_orderkey") * F.lit(1.5)).cast("decimal(20,2)").alias("amount"))
+    return files.json_safe(rows)
+
+
 @query()
 def protected_tokens(spark, sf):
     t = correction.protected_tokens(F.col("text"))
@@ -407,15 +455,23 @@ def lines_in_blocks(spark, sf):
     return layout.line_blocks(b.where("block_id % 2 = 1").withColumnRenamed("block_id", "line_id"), b.where("block_id % 2 = 0")).withColumn("coverage", F.round("coverage", 9))
 
 
-@query()
+@query(f"""WITH b AS (SELECT l_orderkey AS page_id, {_BOX} FROM lineitem), e AS (SELECT page_id, x0 AS x FROM b UNION SELECT page_id, x1 FROM b),
+s AS (SELECT page_id, x AS l, lead(x) OVER (PARTITION BY page_id ORDER BY x) AS r FROM e),
+c AS (SELECT s.page_id, l, r, y0, y1, max(y1) OVER (PARTITION BY s.page_id, l ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s JOIN b ON s.page_id = b.page_id AND b.x0 < s.r AND b.x1 > s.l)
+SELECT page_id, sum((r - l) * greatest(0, y1 - greatest(y0, coalesce(reached, y0)))) AS area FROM c GROUP BY page_id""")
 def covered_area(spark, sf):
     grouped = _boxes(spark, sf).groupBy("page_id").agg(F.collect_list("bbox").alias("boxes"))
     return grouped.select("page_id", G.union_area("boxes").alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS page_id, l_linenumber AS n, l_returnflag AS key, {_BOX}, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, x0, y0, x1, y1) AS k FROM lineitem),
+w AS (SELECT page_id, key, k, n, NULL::INTEGER AS first, [{{'n': n, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM b WHERE k = 1
+UNION ALL SELECT page_id, key, k, n, first, CASE WHEN first IS NULL THEN list_append(kept, {{'n': n, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) ELSE kept END FROM (SELECT b.*, kept,
+ list_filter(kept, lambda o: greatest(0, least(o.x1, b.x1) - greatest(o.x0, b.x0)) * greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0)) / least((o.x1 - o.x0) * (o.y1 - o.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) >= {layout.DUPLICATE})[1].n AS first FROM w JOIN b ON b.page_id = w.page_id AND b.key = w.key AND b.k = w.k + 1))
+SELECT page_id, n::BIGINT AS block_id, coalesce(first, -1)::BIGINT AS duplicate_of FROM w""")
 def page_duplicates(spark, sf):
-    return layout.without_duplicates(_boxes(spark, sf))
+    """duplicate_of is -1 for a block that is kept."""
+    return layout.without_duplicates(_boxes(spark, sf)).fillna(-1, "duplicate_of")
 
 
 @query("""WITH u AS (SELECT DISTINCT l_orderkey AS sheet, l_partkey % 12 AS r, l_suppkey % 8 AS c FROM lineitem),
@@ -501,7 +557,15 @@ def _retrieval_rows(spark, sf) -> DataFrame:
     return elements.retrieval_elements(elements.with_sections(rows))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_ELEMENTS}, h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY "order") AS k, lead("order") OVER (PARTITION BY document_id ORDER BY "order") AS until,
+ CASE WHEN regexp_matches(text, '^\s*(?i:CHƯƠNG)\s+[IVXLCDMivxlcdm]+([^\p{{L}}\p{{N}}_]|$)') THEN 'chapter' WHEN regexp_matches(text, '^\s*(?i:Điều)\s+\d+[A-Za-z]?([^\p{{L}}\p{{N}}_]|$)') THEN 'article' END AS kind,
+ regexp_matches(text, '\p{{L}}') AND NOT regexp_matches(text, '\p{{Ll}}') AS capitals FROM el WHERE element_type = 'heading'),
+w AS (SELECT document_id, k, "order", until, [{{'kind': coalesce(kind, 'heading'), 'text': text}}] AS path FROM h WHERE k = 1
+UNION ALL SELECT h.document_id, h.k, h."order", h.until, CASE WHEN h.kind = 'chapter' THEN [{{'kind': 'chapter', 'text': h.text}}]
+ WHEN h.kind = 'article' THEN list_append(list_filter(path, lambda p: p.kind NOT IN ('article', 'heading')), {{'kind': 'article', 'text': h.text}})
+ WHEN path[1].kind = 'chapter' AND h.capitals THEN list_append(list_filter(path, lambda p: p.kind <> 'chapter_title'), {{'kind': 'chapter_title', 'text': h.text}})
+ ELSE [{{'kind': 'heading', 'text': h.text}}] END FROM w JOIN h ON h.document_id = w.document_id AND h.k = w.k + 1)
+SELECT el.document_id, el."order"::INTEGER AS "order", coalesce(list_transform(path, lambda p: p.text), []) AS heading_path FROM el LEFT JOIN w ON w.document_id = el.document_id AND el."order" >= w."order" AND (w.until IS NULL OR el."order" < w.until)""")
 def heading_paths(spark, sf):
     return elements.with_heading_paths(elements.from_text(table(spark, sf, "documents")))
 
@@ -519,9 +583,9 @@ def type_aware_chunks(spark, sf):
 
 @query()
 def table_chunks(spark, sf):
-    """Orders are tables: a header and a row a line."""
+    """Sixty-four neighbouring orders are a table, however many there are: a header and a row a line."""
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_quantity")]), F.lit(" |"))
-    lines = table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("r")))).alias("rows"))
+    lines = table(spark, sf, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 64).alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("r")))).alias("rows"))
     text = F.concat(F.lit("| line | part | quantity |\n| --- | --- | --- |\n"), F.array_join(F.transform("rows", lambda r: r["r"]), "\n"))
     rows = lines.select("document_id", F.concat(F.col("document_id").cast("string"), F.lit("-e1")).alias("element_id"), F.lit(0).alias("order"), F.lit("table").alias("element_type"), text.alias("text"), F.array(F.lit("Orders")).alias("heading_path"))
     return chunking.chunk(rows, chunking.type_aware)

@@ -17,6 +17,7 @@ FORMATS = {"pdf": "pdf", "docx": "docx", "xlsx": "excel", "xlsm": "excel", "png"
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff"}
 ELEMENT = "document_id string, path string, position int, element_type string, text string, page_number int, heading_level int, status string, error string"
 CELL = "document_id string, path string, sheet string, row int, column int, coordinate string, value string, formula string"
+SHEET = "document_id string, path string, sheet string, state string, merged_cells array<string>, hidden_rows array<int>, hidden_columns array<string>"
 CELL_CAP = 1_000_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -98,12 +99,37 @@ def xlsx_cells(raw: bytes, cap: int = CELL_CAP) -> Iterator[tuple[str, int, int,
             yield sheet.get("name"), int(row), column, c.get("r"), text, None if formula is None else "=" + (formula.text or "")
 
 
+def xlsx_sheets(raw: bytes) -> Iterator[tuple[str, str, list[str], list[int], list[str]]]:
+    """(sheet, state, merged ranges, hidden rows, hidden columns) of every sheet of a workbook."""
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    links = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+        target = links[sheet.get(f"{_R}id")]
+        root = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
+        hidden = lambda tag: [e for e in root.iter(f"{_S}{tag}") if e.get("hidden") in ("1", "true")]  # noqa: B023, E731
+        columns = [_letters(k) for c in hidden("col") for k in range(int(c.get("min")), int(c.get("max")) + 1)]
+        yield sheet.get("name"), sheet.get("state") or "visible", [m.get("ref") for m in root.iter(f"{_S}mergeCell")], [int(r.get("r")) for r in hidden("row")], columns
+
+
+def _letters(column: int) -> str:
+    """A column's letters: 1 is A, 27 is AA."""
+    return (_letters((column - 1) // 26) if column > 26 else "") + chr(65 + (column - 1) % 26)
+
+
+def image_elements(raw: bytes, recognise: Callable[[bytes], Iterator[tuple[str, str, int | None]]] | None = None) -> Iterator[tuple[str, str, int | None]]:
+    """The picture itself as an element, then what a recogniser reads in it. Bytes of no known picture format are an error."""
+    if not raw.startswith((b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"II*\x00", b"MM\x00*", b"BM", b"GIF8")) and not (raw[:4] == b"RIFF" and raw[8:12] == b"WEBP"):
+        raise ValueError("not a picture")
+    yield "image", "", None
+    yield from recognise(raw) if recognise else ()
+
+
 def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[tuple]]] | None = None) -> DataFrame:
     """ELEMENT rows of binary files. A file that fails becomes one row of status ``failed``; the others are not touched.
 
-    ``parsers`` adds formats (PDF, image) by functions of the file's bytes; a format without one fails its files.
+    ``parsers`` adds or replaces formats (PDF, image with a recogniser) by functions of the file's bytes; a format without one fails its files.
     """
-    known = {"docx": docx_elements} | (parsers or {})
+    known = {"docx": docx_elements, "image": image_elements} | (parsers or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ELEMENT.split(", ")]
@@ -131,6 +157,39 @@ def cells(files: DataFrame) -> DataFrame:
     return files.where(file_format(F.col("path")) == "excel").select("path", "content", document_id(F.col("content")).alias("doc")).mapInPandas(run, CELL)
 
 
+def sheets(files: DataFrame) -> DataFrame:
+    """SHEET rows of the workbooks among binary files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, raw, doc in batch.itertuples(index=False):
+                yield pd.DataFrame([(doc, path, *s) for s in xlsx_sheets(bytes(raw))], columns=["document_id", "path", "sheet", "state", "merged_cells", "hidden_rows", "hidden_columns"])
+
+    return files.where(file_format(F.col("path")) == "excel").select("path", "content", document_id(F.col("content")).alias("doc")).mapInPandas(run, SHEET)
+
+
+def merged_ranges(found: DataFrame) -> DataFrame:
+    """document_id, sheet, row1, column1, row2, column2 of the merged ranges of SHEET rows, as ``table_regions`` takes them."""
+    part = lambda g: F.regexp_extract("ref", r"^([A-Z]+)(\d+)(?::([A-Z]+)(\d+))?$", g)
+    number = lambda letters: F.aggregate(F.split(letters, ""), F.lit(0), lambda n, c: n * 26 + F.when(c == "", 0).otherwise(F.ascii(c) - 64))
+    end = lambda g: F.when(part(g) == "", part(g - 2)).otherwise(part(g))
+    each = found.select("document_id", "sheet", F.explode("merged_cells").alias("ref"))
+    return each.select("document_id", "sheet", part(2).cast("int").alias("row1"), number(part(1)).alias("column1"), end(4).cast("int").alias("row2"), number(end(3)).alias("column2"))
+
+
+def json_safe(frame: DataFrame) -> DataFrame:
+    """Every column as JSON can hold it: dates and times in ISO form, strings, numbers and booleans as they are, all else as strings."""
+
+    def safe(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind.startswith("timestamp"):
+            fraction = F.date_format(c, "SSSSSS")
+            return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)))
+        return c if kind in ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double") else c.cast("string")
+
+    return frame.select(*[safe(n, k).alias(n) for n, k in frame.dtypes])
+
+
 def batch_counts(parsed: DataFrame) -> DataFrame:
     """One row: files ok, partial and failed."""
     each = parsed.groupBy("path").agg(F.count_if(F.col("status") == "failed").alias("bad"), F.count(F.lit(1)).alias("n"))
