@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ranks import numbered
+
 ELIGIBLE = ["heading", "paragraph", "list", "table", "formula"]
 SIDE, TOTAL = 100, 200
 PLACEHOLDER = r"(?iU)\b(?:placeholder|lorem ipsum|image description unavailable)\b|^\s*(?:n/?a|unknown|không rõ)\s*$"
@@ -103,9 +105,8 @@ def caption_gate(captions: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def pilot_sample(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """``n`` rows of each stratum, evenly spaced in ``order``."""
-    w = Window.partitionBy(by)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    """``n`` rows of each stratum, evenly spaced in ``order``, an integer column."""
+    placed = numbered(rows, [by], order).withColumn("_i", F.col("_i") - 1)
     slot = F.floor(F.col("_i") * n / F.col("_n"))
     before = F.floor((F.col("_i") - 1) * n / F.col("_n"))
     return placed.where((F.col("_n") <= n) | (F.col("_i") == 0) | (slot != before)).drop("_i", "_n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import geometry as G
+from tessera.functions.ranks import numbered
 
 CELL = "row_index int, column_index int, rowspan int, colspan int, is_header boolean, text string"
 
@@ -130,8 +131,7 @@ def reindexed(cells: DataFrame) -> DataFrame:
 
 def bands(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, first, last of runs of consecutive integers: value minus its rank is constant in a run."""
-    rank = F.dense_rank().over(Window.partitionBy(*by).orderBy(value))
-    runs = values.select(*by, value).distinct().withColumn("_run", F.col(value) - rank)
+    runs = numbered(values.select(*by, value).distinct(), by, value).withColumn("_run", F.col(value) - F.col("_i"))
     return runs.groupBy(*by, "_run").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("_run")
 
 

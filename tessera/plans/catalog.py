@@ -543,7 +543,16 @@ def input_guard(spark, sf):
     return _messages(spark, sf).select("conv_id", "turn", *[c.alias(k) for k, c in g.items()])
 
 
-@query()
+# A turn is kept until the turns after it pass a limit, and a turn too long is cut to its end at once; so what is kept is a
+# suffix, and the summary is the traces of what went, in the order in which it went.
+@query(r"""WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+p AS (SELECT *, sum(least(n, 2000)) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM m),
+fits AS (SELECT t.conv_id, t.i AS t, min(j.i) AS s FROM p t JOIN p j ON j.conv_id = t.conv_id AND j.i BETWEEN t.i - 5 AND t.i AND (j.i = t.i OR (t.n <= 2000 AND t.upto - j.upto + least(j.n, 2000) <= 2000)) GROUP BY ALL),
+suffix AS (SELECT conv_id, t, max(s) OVER (PARTITION BY conv_id ORDER BY t) AS s FROM fits),
+gone AS (SELECT p.conv_id, min(suffix.t) AS went, 0 AS phase, p.i, p.role, right(p.text, 2000) AS text FROM p JOIN suffix ON suffix.conv_id = p.conv_id AND suffix.s > p.i GROUP BY ALL
+ UNION ALL SELECT conv_id, i, 1, i, role, text FROM p WHERE n > 2000),
+told AS (SELECT conv_id, right(string_agg(rtrim('- ' || role || ': ' || left(text, 200), ' ' || chr(9) || chr(10) || chr(13)), chr(10) ORDER BY went, phase, i), 2000) AS summary FROM gone GROUP BY conv_id)
+SELECT p.conv_id, count(*) AS n_turns, sum(least(n, 2000))::BIGINT AS n_chars, coalesce(any_value(summary), '') AS summary FROM p JOIN (SELECT conv_id, max(s) AS s FROM suffix GROUP BY conv_id) k ON k.conv_id = p.conv_id AND p.i >= k.s LEFT JOIN told ON told.conv_id = p.conv_id GROUP BY p.conv_id""")
 def session_memory(spark, sf):
     m = sessions.session_memory(_messages(spark, sf), max_chars=2000)
     return m.select("conv_id", "n_turns", "n_chars", "summary")

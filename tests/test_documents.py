@@ -2,12 +2,16 @@
 
 import io
 import json
+import random
 import zipfile
 
+import duckdb
 import pandas as pd
 import pytest
 
-from tessera.operators import dedup, images, index, remote, tables
+from tessera.functions import ranks
+from tessera.operators import dedup, images, index, remote, sessions, tables
+from tessera.plans import catalog
 from tessera.sources import files
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -125,3 +129,24 @@ def test_upsert_local_by_hash_and_key(spark):
     store = spark.createDataFrame([(1, "a", "h1"), (2, "b", "")], schema)
     new = spark.createDataFrame([(1, "c", "h1"), (3, "b", "h2"), (4, "d", "h2"), (5, "e", ""), (6, "f", None)], schema)
     assert sorted((r.chunk_id, r.seq) for r in dedup.upsert_local(store, new).collect()) == [("a", 1), ("b", 3), ("e", 5), ("f", 6)]
+
+
+def test_numbers_run_through_buckets_and_null_keys(spark):
+    r = random.Random(1)
+    data = [(k, o) for k in ("a", "b", None) for o in r.sample(range(-200_000, 400_000), 40)] + [("c", None), ("c", 5)]
+    got = ranks.numbered(spark.createDataFrame(data, "k string, o long"), ["k"], "o").collect()
+    for key in ("a", "b", None, "c"):
+        mine = sorted((x for x in got if x.k == key), key=lambda x: x["_i"])
+        assert [x["_i"] for x in mine] == list(range(1, len(mine) + 1)) and {x["_n"] for x in mine} == {len(mine)}
+        assert [x.o for x in mine] == sorted((o for k, o in data if k == key), key=lambda o: (o is not None, o or 0))
+
+
+def test_session_memory_on_long_conversations(spark):
+    r = random.Random(3)
+    size = lambda: r.choice([0, 3, 50, 400, 900, 1900, 2000, 2001, 3000])
+    told = pd.DataFrame([(c, t, r.choice(["user", "assistant"]), "".join(r.choice("ab é\n") for _ in range(size()))) for c in range(60) for t in range(r.randint(1, 25))], columns=["conv_id", "turn", "role", "text"])
+    got = sessions.session_memory(spark.createDataFrame(told), max_chars=2000).drop("turns").toPandas()
+    con = duckdb.connect()
+    con.register("conversations", told)
+    want = con.execute(catalog.oracle_sql()["session_memory"]).df()
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want[got.columns].to_numpy().tolist()))
