@@ -619,7 +619,7 @@ def correction_audit(spark, sf):
     return correction.status_counts(correction.corrected(rows))
 
 
-@query()
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, {WORDS} FROM documents) SELECT count(*) AS payload_count, count(DISTINCT doc_id) AS ids, count(*) AS vector_count, 0::BIGINT AS bad_vectors, (SELECT count(*) FROM w) AS posting_count, []::VARCHAR[] AS errors, true AS ok FROM documents""")
 def generation_publish(spark, sf):
     root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-generations"
     chunks = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.lit("text").alias("type"), F.col("text").alias("content"))
