@@ -26,6 +26,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +45,30 @@ ROUNDS, SHARD_TOKENS, SHARDS, FAN_IN = 2, 2_000_000, 4096, 32
 FIXED = 1 << 20
 #: Words that make up at least one token in so many are sent to the tasks (there are no more than that); the rest are joined.
 COMMON = 4096
-_ONES = np.ones(GROUPS, np.float32)
+#: Adds up the two halves of a row, groups and members; gives each half its own factor.
+_HALVES = np.repeat(np.eye(2, dtype=np.float32), GROUPS, axis=0)
+_SPREAD = np.ascontiguousarray(_HALVES.T)
+
+
+def coded_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the different words of all texts, the place among them of every word, and the number of words of
+    each text."""
+    raw = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
+    trimmed = pc.ascii_trim_whitespace(raw)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(trimmed))
+    counts = np.where(pc.binary_length(trimmed).to_numpy() > 0, pc.list_value_length(lists).to_numpy(), 0).astype(np.int64)
+    flat = lists.flatten()
+    if (counts == 0).any():  # the split of an empty text is one empty word
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    coded = flat.dictionary_encode()
+    words = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)
+    return pd.util.hash_array(words, categorize=False).view(np.int64), coded.indices.to_numpy(), counts
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of all texts, and the number of words of each."""
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    flat = np.empty(sum(map(len, words)), dtype=object)
-    flat[:] = [w for ws in words for w in ws]
-    return pd.util.hash_array(flat, categorize=False).view(np.int64), np.array([len(w) for w in words], dtype=np.int64)
+    words, which, counts = coded_words(texts)
+    return words[which], counts
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
@@ -72,8 +89,8 @@ def _parts(batches: Iterator[pd.DataFrame], size: int = 256) -> Iterator[pd.Data
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in _parts(batches, 2048):
-        words, n = np.unique(word_hashes(part["text"].tolist())[0], return_counts=True)
-        yield pd.DataFrame({"word": words, "n": n})
+        words, which, _ = coded_words(part["text"].tolist())
+        yield pd.DataFrame({"word": words, "n": np.bincount(which, minlength=len(words))})
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -114,56 +131,69 @@ class WindowNetwork:
             setattr(self, name, self.flat[at : at + size].reshape(shape))
             at += size
 
-    def _forward(self, around: np.ndarray, token: np.ndarray):
-        x = self.embed[around].reshape(len(token), -1)
-        h = np.tanh(x @ self.inner + self.inner_bias)
-        group, member = token // GROUPS, token % GROUPS
-        both = []
-        for z, chosen in ((h @ self.group + self.group_bias, group), (h @ self.member + self.member_bias[group], member)):
-            np.clip(z, -60, 60, out=z)  # instead of taking off each row's maximum
-            e = np.exp(z)
-            s = e @ _ONES
-            both.append((e / s[:, None], z[np.arange(len(token)), chosen] - np.log(s)))
-        return x, h, group, member, both
+    def _heads(self, h: np.ndarray, token: np.ndarray):
+        """The weights of groups and members side by side; group and member of each token; z and exp(z) of both, and
+        the sums of the latter."""
+        heads = np.concatenate([self.group, self.member], axis=1)
+        biases = np.concatenate([np.tile(self.group_bias, (GROUPS, 1)), self.member_bias], axis=1)
+        group, member = np.divmod(token, GROUPS)
+        z = h @ heads
+        z += biases.take(group, axis=0)
+        np.clip(z, -60, 60, out=z)  # instead of taking off each row's maximum
+        e = np.exp(z)
+        return heads, group, GROUPS + member, z, e, e @ _HALVES
 
     def log_probabilities(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
-        both = self._forward(around, token)[4]
-        return both[0][1].astype(np.float64) + both[1][1]
+        # What each class adds to the hidden layer in each place, so that tokens need no product of their own.
+        adds = [self.embed @ self.inner[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
+        adds[0] += self.inner_bias
+        logs = np.empty(len(token))
+        for start in range(0, len(token), BATCH):
+            sides, own = around[start : start + BATCH], token[start : start + BATCH]
+            h = adds[0].take(sides[:, 0], axis=0)
+            for k in range(1, 2 * SIDE):
+                h += adds[k].take(sides[:, k], axis=0)
+            _, group, member, z, _, s = self._heads(np.tanh(h, out=h), own)
+            at, s = np.arange(len(own)), np.log(s)
+            logs[start : start + BATCH] = (z[at, group] - s[:, 0]).astype(np.float64) + (z[at, member] - s[:, 1])
+        return logs
 
     def train(self, around: np.ndarray, token: np.ndarray, rate: float = RATE) -> None:
         """One step of gradient descent on the mean loss of a batch."""
-        x, h, group, member, ((p, _), (q, _)) = self._forward(around, token)
-        at = np.arange(len(token))
-        p[at, group] -= 1
-        q[at, member] -= 1
-        p /= len(token)
-        q /= len(token)
-        dh = (p @ self.group.T + q @ self.member.T) * (1 - h * h)
+        n, at = len(token), np.arange(len(token))
+        x = self.embed.take(around, axis=0).reshape(n, -1)
+        h = x @ self.inner
+        h += self.inner_bias
+        np.tanh(h, out=h)
+        heads, group, member, _, p, s = self._heads(h, token)
+        p *= (1 / (s * n)) @ _SPREAD
+        p[at, group] -= 1 / n
+        p[at, member] -= 1 / n
+        dh = (p @ heads.T) * (1 - h * h)
         dx = (dh @ self.inner.T).reshape(-1, EMBED)
-        gradients = {"group": h.T @ p, "group_bias": np.ones(len(token), np.float32) @ p, "member": h.T @ q, "inner": x.T @ dh, "inner_bias": np.ones(len(token), np.float32) @ dh}
-        one_hot = np.zeros((GROUPS, len(token)), np.float32)
+        ones, one_hot = np.ones(n, np.float32), np.zeros((GROUPS, n), np.float32)
         one_hot[group, at] = 1
-        self.member_bias -= rate * GROUPS * (one_hot @ q)
-        for name, g in gradients.items():
-            parameter = getattr(self, name)
-            parameter -= rate * g
+        d_heads = h.T @ p
+        self.group -= rate * d_heads[:, :GROUPS]
+        self.member -= rate * d_heads[:, GROUPS:]
+        self.group_bias -= rate * (ones @ p[:, :GROUPS])
+        self.member_bias -= rate * GROUPS * (one_hot @ p[:, GROUPS:])
+        self.inner -= rate * (x.T @ dh)
+        self.inner_bias -= rate * (ones @ dh)
         # Rows of the embedding that a batch uses are few, so they move further.
         flat = around.ravel().astype(np.int16)  # for a radix sort
         order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        self.embed[flat[order][starts]] -= 8 * rate * np.add.reduceat(dx[order], starts, axis=0)
+        flat = flat.take(order)
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self.embed[flat[starts]] -= 8 * rate * np.add.reduceat(dx.take(order, axis=0), starts, axis=0)
 
 
 def windows(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The SIDE tokens before and after every token of its own text; outside it, the padding class."""
-    n = len(classes)
-    padded = np.concatenate([np.full(SIDE, CLASSES), classes, np.full(SIDE, CLASSES)])
-    around = np.stack([padded[SIDE + d : SIDE + d + n] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
-    start = np.repeat(np.cumsum(counts) - counts, counts)
-    place, size = np.arange(n) - start, np.repeat(counts, counts)
-    for column, d in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
-        around[(place + d < 0) | (place + d >= size), column] = CLASSES
-    return around
+    place = np.arange(len(classes)) + SIDE * np.repeat(np.arange(1, len(counts) + 1), counts)
+    padded = np.full(len(classes) + SIDE * (len(counts) + 1), CLASSES)
+    padded[place] = classes
+    return padded.take(place[:, None] + [*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
 def _train(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -191,13 +221,13 @@ def _train(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarr
             if total:
                 yield done()
             shard, network, total = number, WindowNetwork(flat), 0
-        buckets, counts = hashed_words(rows["text"].tolist())
-        token = table[buckets].astype(np.int64)
+        words, which, counts = coded_words(rows["text"].tolist())
+        token = table[_buckets(words)].astype(np.int64).take(which)
         around = windows(token, counts)
         order = np.random.default_rng(len(token)).permutation(len(token))
         for start in range(0, len(token), BATCH):
             at = order[start : start + BATCH]
-            network.train(around[at], token[at], RATE * len(at) / BATCH)
+            network.train(around.take(at, axis=0), token.take(at), RATE * len(at) / BATCH)
         total += len(token)
     if total:
         yield done()
@@ -217,21 +247,16 @@ def _score(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarr
     score for rare words too, the logarithm of their own count is not."""
     network = WindowNetwork(flat)
     for part in _parts(batches):
-        hashes, counts = word_hashes(part["text"].tolist())
-        token = table[_buckets(hashes)].astype(np.int64)
-        around, logs = windows(token, counts), np.zeros(len(token))
-        for start in range(0, len(token), 4 * BATCH):
-            at = slice(start, start + 4 * BATCH)
-            logs[at] = network.log_probabilities(around[at], token[at])
-        more = {}
+        words, which, counts = coded_words(part["text"].tolist())
+        token = table[_buckets(words)].astype(np.int64).take(which)
+        logs, more = network.log_probabilities(windows(token, counts), token), {}
         if common is not None:
-            words, which = np.unique(hashes, return_inverse=True)
             known = common["word"]
             at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
             found = known[at] == words if len(known) else np.zeros(len(words), bool)
             log_n = np.zeros(len(words))
             log_n[found] = common["log_n"][at[found]]
-            logs += log_n[which] - common["log_class"][token]
+            logs += log_n.take(which) - common["log_class"].take(token)
             rare = ~found[which]
             row = np.repeat(np.arange(len(counts)), counts)[rare]
             pairs, n = np.unique(row * max(len(words), 1) + which[rare], return_counts=True)
@@ -279,7 +304,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
     scored = scratch.keep(numbered.mapInPandas(scorer, "doc_id long, n_tokens long, pseudo_log_likelihood double, row long, rare array<long>, rare_n array<long>"), "scored")
     held = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
-    logs = words.select("word", F.round(F.log("n") * FIXED).cast("long").alias("log_n"))
+    # The logarithm of 1 adds nothing.
+    logs = words.where("n > 1").select("word", F.round(F.log("n") * FIXED).cast("long").alias("log_n"))
     rare = held.join(logs, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("rare_log"))
     scores = scored.drop("rare", "rare_n").join(rare, "row", "left")
     # A word alone in its class adds 0, up to rounding.

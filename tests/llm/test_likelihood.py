@@ -125,3 +125,16 @@ def test_rare_words_are_scored_like_common_ones(make_docs, monkeypatch):
     monkeypatch.setattr(L, "COMMON", 1)  # nothing is common: every word is joined
     got = scores()
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
+
+
+def test_words_are_those_between_ascii_white_space_and_hashed_once_a_batch(monkeypatch):
+    texts = ["", " \x0b\x0c ", "a\tB\x1cc\x85 d　e \n", " \x00 x\x7f  X ", "É é É", "x" * 100 + " " * 100, "\udcff z", "A b a b A"]
+    hashed, real = [], pd.util.hash_array
+    monkeypatch.setattr(pd.util, "hash_array", lambda words, **more: hashed.extend(words) or real(words, **more))
+    got, counts = L.word_hashes(texts)
+    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    flat = np.array([w for ws in words for w in ws], dtype=object)
+    assert got.tolist() == real(flat, categorize=False).view(np.int64).tolist()
+    assert sorted(hashed) == sorted(set(flat))
+    assert [len(x) for x in L.word_hashes(["", " "])] == [0, 2] and [len(x) for x in L.word_hashes([])] == [0, 0]
