@@ -50,11 +50,10 @@ _HALVES = np.repeat(np.eye(2, dtype=np.float32), GROUPS, axis=0)
 _SPREAD = np.ascontiguousarray(_HALVES.T)
 
 
-def coded_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of the different words of all texts, the place among them of every word, and the number of words of
     each text."""
-    raw = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
-    trimmed = pc.ascii_trim_whitespace(raw)
+    trimmed = pc.ascii_trim_whitespace(texts.cast(pa.large_string()))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(trimmed))
     counts = np.where(pc.binary_length(trimmed).to_numpy() > 0, pc.list_value_length(lists).to_numpy(), 0).astype(np.int64)
     flat = lists.flatten()
@@ -67,7 +66,7 @@ def coded_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of all texts, and the number of words of each."""
-    words, which, counts = coded_words(texts)
+    words, which, counts = coded_words(pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string()))
     return words[which], counts
 
 
@@ -81,21 +80,21 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _buckets(hashes), counts
 
 
-def _parts(batches: Iterator[pd.DataFrame], size: int = 256) -> Iterator[pd.DataFrame]:
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), size):
-            yield batch.iloc[start : start + size]
+            yield batch.slice(start, size)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _parts(batches, 2048):
-        words, which, _ = coded_words(part["text"].tolist())
-        yield pd.DataFrame({"word": words, "n": np.bincount(which, minlength=len(words))})
+        words, which, _ = coded_words(part["text"])
+        yield pa.RecordBatch.from_pydict({"word": words, "n": np.bincount(which, minlength=len(words))})
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (its hash), n: every word of the corpus."""
-    return texts.mapInPandas(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def bucket_counts(words: DataFrame) -> np.ndarray:
@@ -191,7 +190,7 @@ class WindowNetwork:
 def windows(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The SIDE tokens before and after every token of its own text; outside it, the padding class."""
     place = np.arange(len(classes)) + SIDE * np.repeat(np.arange(1, len(counts) + 1), counts)
-    padded = np.full(len(classes) + SIDE * (len(counts) + 1), CLASSES)
+    padded = np.full(len(classes) + SIDE * (len(counts) + 1), CLASSES, np.int16)
     padded[place] = classes
     return padded.take(place[:, None] + [*range(-SIDE, 0), *range(1, SIDE + 1)])
 
@@ -221,8 +220,8 @@ def _train(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarr
             if total:
                 yield done()
             shard, network, total = number, WindowNetwork(flat), 0
-        words, which, counts = coded_words(rows["text"].tolist())
-        token = table[_buckets(words)].astype(np.int64).take(which)
+        words, which, counts = coded_words(pa.array(rows["text"], pa.large_string()))
+        token = table[_buckets(words)].take(which)
         around = windows(token, counts)
         order = np.random.default_rng(len(token)).permutation(len(token))
         for start in range(0, len(token), BATCH):
@@ -241,14 +240,14 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [rows["shard"].iloc[0] // FAN_IN], "tokens": [rows["tokens"].sum()], "weighted": [total.tobytes()]})
 
 
-def _score(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarray, common: dict[str, np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+def _score(batches: Iterator[pa.RecordBatch], *, table: np.ndarray, flat: np.ndarray, common: dict[str, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     """Scores of the classes. With ``common`` (word, log_n, log_class) also of the common words given their classes,
     and the rare words of each row with their numbers; what log P(word | class) takes from the class's size is in the
     score for rare words too, the logarithm of their own count is not."""
     network = WindowNetwork(flat)
     for part in _parts(batches):
-        words, which, counts = coded_words(part["text"].tolist())
-        token = table[_buckets(words)].astype(np.int64).take(which)
+        words, which, counts = coded_words(part["text"])
+        token = table[_buckets(words)].take(which)
         logs, more = network.log_probabilities(windows(token, counts), token), {}
         if common is not None:
             known = common["word"]
@@ -260,11 +259,11 @@ def _score(batches: Iterator[pd.DataFrame], *, table: np.ndarray, flat: np.ndarr
             rare = ~found[which]
             row = np.repeat(np.arange(len(counts)), counts)[rare]
             pairs, n = np.unique(row * max(len(words), 1) + which[rare], return_counts=True)
-            cuts = np.searchsorted(pairs // max(len(words), 1), np.arange(1, len(counts)))
-            more = {"row": part["row"].to_numpy(), "rare": np.split(words[pairs % max(len(words), 1)], cuts), "rare_n": np.split(n, cuts)}
+            cuts = pa.array(np.searchsorted(pairs // max(len(words), 1), np.arange(len(counts) + 1)), pa.int32())
+            more = {"row": part["row"], "rare": pa.ListArray.from_arrays(cuts, words[pairs % max(len(words), 1)]), "rare_n": pa.ListArray.from_arrays(cuts, n)}
         sums = np.concatenate([[0.0], np.cumsum(logs)])
         ends = np.cumsum(counts)
-        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_tokens": counts, "pseudo_log_likelihood": sums[ends] - sums[ends - counts]} | more)
+        yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].cast(pa.int64()), "n_tokens": counts, "pseudo_log_likelihood": sums[ends] - sums[ends - counts]} | more)
 
 
 def fit(docs: DataFrame, scratch: Scratch, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +301,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     scorer = partial(_score, table=table, flat=flat, common=common_words(words, total, table))
     # Numbers of rows hold once they are written.
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    scored = scratch.keep(numbered.mapInPandas(scorer, "doc_id long, n_tokens long, pseudo_log_likelihood double, row long, rare array<long>, rare_n array<long>"), "scored")
+    scored = scratch.keep(numbered.mapInArrow(scorer, "doc_id long, n_tokens long, pseudo_log_likelihood double, row long, rare array<long>, rare_n array<long>"), "scored")
     held = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
     # The logarithm of 1 adds nothing.
     logs = words.where("n > 1").select("word", F.round(F.log("n") * FIXED).cast("long").alias("log_n"))

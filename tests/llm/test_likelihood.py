@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tessera.llm import likelihood as L
@@ -138,3 +139,14 @@ def test_words_are_those_between_ascii_white_space_and_hashed_once_a_batch(monke
     assert got.tolist() == real(flat, categorize=False).view(np.int64).tolist()
     assert sorted(hashed) == sorted(set(flat))
     assert [len(x) for x in L.word_hashes(["", " "])] == [0, 2] and [len(x) for x in L.word_hashes([])] == [0, 0]
+
+
+def test_rare_words_stay_with_their_rows():
+    texts = [" ".join(f"w{(i * 7 + k) % 90}" for k in range(i % 13)) + " the" * (i % 3) for i in range(600)]
+    code = lambda w: int(L.word_hashes([w])[0][0])
+    common = {"word": np.array([code("the")]), "log_n": np.array([1.5]), "log_class": np.zeros(L.CLASSES)}
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1, 600)], pa.int32()), "text": texts, "row": range(600)})
+    parts = list(L._score(iter([batch.slice(0, 300), batch.slice(300)]), table=np.zeros(L.BUCKETS, np.int16), flat=L.WindowNetwork().flat, common=common))
+    got = [r for part in parts for r in part.to_pylist()]
+    assert [(r["row"], r["doc_id"], r["n_tokens"]) for r in got] == [(i, i or None, len(t.split())) for i, t in enumerate(texts)]
+    assert [dict(zip(r["rare"], r["rare_n"])) for r in got] == [{code(w): n for w, n in Counter(t.split()).items() if w != "the"} for t in texts]
